@@ -1,8 +1,5 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestone.queries.catalogue import FLAGSHIP, ORACLES, QUERIES
 
-
-def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
