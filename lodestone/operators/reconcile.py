@@ -17,15 +17,20 @@ def sides(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return tagged.groupBy("memory_type", "block_id").agg(*(F.bool_or(n).alias(n) for n in ("base", "ours", "theirs")))
 
 
-def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, check: bool = True) -> DataFrame:
+def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, check: bool = True, installed: tuple[set[str], set[str]] | None = None) -> DataFrame:
     """(memory_type, block_id, outcome): kept, added_by_us, added_by_them, added_by_both or removed.
 
     Exclusion wins over presence: what the base held and a side that holds the module lacks is removed.  A module that
-    a side does not hold at all is not removed by it.  An episodic removal is refused.
+    a side does not hold at all is not removed by it.  An episodic removal is refused.  installed: the modules that we
+    and they hold, which also tells an emptied module from an absent one; by default those with blocks.
     """
     flags = sides(base, ours, theirs)
-    held = flags.groupBy("memory_type").agg(F.bool_or("ours").alias("we"), F.bool_or("theirs").alias("they"))
-    rows = flags.join(F.broadcast(held), "memory_type")  # a row for each of five modules
+    if installed is not None:
+        we, they = (F.col("memory_type").isin(*names) if names else F.lit(False) for names in installed)
+        rows = flags.withColumns({"we": we, "they": they})
+    else:
+        held = flags.groupBy("memory_type").agg(F.bool_or("ours").alias("we"), F.bool_or("theirs").alias("they"))
+        rows = flags.join(F.broadcast(held), "memory_type")  # a row for each of five modules
     removed = F.col("base") & ((F.col("we") & ~F.col("ours")) | (F.col("they") & ~F.col("theirs")))
     outcome = (
         F.when(removed, "removed")
