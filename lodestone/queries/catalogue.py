@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.identity import MEMORY_TYPES
 from lodestone.functions.text import content_terms, score_text
 from lodestone.operators import composition, graph, ledger, merkle, ranking, reconcile, retention, search, validate
+from lodestone.plans.scratch import checkpointed
 from lodestone.queries import fixtures as fx
 from lodestone.queries.fixtures import PRELUDE
 
@@ -15,6 +16,11 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def _ids(spark, sf) -> DataFrame:
+    """The composition, written once: it is read several times, and its blocks are not hashed again."""
+    return checkpointed(fx.composition(spark, sf))
+
+
 def query(sql: str | None):
     def register(fn):
         QUERIES[fn.__name__] = fn
@@ -103,14 +109,14 @@ paths AS (SELECT w.memory_type, w.block_id, w.leaf_index, w.tree_size, string_ag
 
 @query(_PROOFS + " SELECT memory_type, block_id, leaf_index, tree_size, path FROM paths WHERE memory_type IN ('semantic', 'canonical')")
 def inclusion_proof_paths(spark, sf) -> DataFrame:
-    found = merkle.proofs(fx.composition(spark, sf).where("memory_type IN ('semantic', 'canonical')"))
+    found = merkle.proofs(_ids(spark, sf).where("memory_type IN ('semantic', 'canonical')"))
     return found.select("memory_type", "block_id", "leaf_index", "tree_size", F.array_join("audit_path", ",").alias("path"))
 
 
 @query(" SELECT memory_type, count(*) AS n_proofs, count(*) AS n_valid, CAST(0 AS BIGINT) AS n_tampered_valid FROM comp WHERE memory_type IN ('semantic', 'procedural') GROUP BY 1")
 def proof_verify(spark, sf) -> DataFrame:
     """Every proof holds against the root, and none with a changed leaf index does."""
-    ids = fx.composition(spark, sf).where("memory_type IN ('semantic', 'procedural')")
+    ids = _ids(spark, sf).where("memory_type IN ('semantic', 'procedural')")
     found = merkle.proofs(ids).join(merkle.roots(ids), "memory_type")
     holds = lambda index: merkle.proof_holds(F.col("block_id"), index, F.col("tree_size"), F.col("audit_path"), F.col("root")).cast("long")
     return found.groupBy("memory_type").agg(
@@ -128,7 +134,7 @@ new AS (SELECT memory_type, block_id FROM comp WHERE substr(block_id, 8, 1) >= '
 
 def _halves(spark, sf) -> tuple[DataFrame, DataFrame]:
     first = F.substring("block_id", 8, 1)
-    own = fx.composition(spark, sf)
+    own = _ids(spark, sf)
     return own.where(first < "a"), own.where(first >= "4")
 
 
@@ -427,8 +433,7 @@ gone AS (SELECT origin, node, CASE WHEN (origin, node) IN (SELECT origin, node F
 def _cascade(spark, sf) -> tuple[DataFrame, DataFrame]:
     origins = fx.nations(spark, sf).where("n_nationkey < 5").select("block_id")
     origins = origins.union(fx.documents(spark, sf).where("doc_id < 50").select("block_id")).distinct()
-    members = fx.composition(spark, sf)
-    records = fx.provenance(spark, sf)
+    members, records = _ids(spark, sf), checkpointed(fx.provenance(spark, sf))
     return graph.cascade(ledger.citations(records), fx.relations(spark, sf), members, origins), origins
 
 
@@ -453,7 +458,7 @@ def cascade_rederivable(spark, sf) -> DataFrame:
 ori AS (SELECT block AS block_id FROM prov WHERE record_type = 'derivation' GROUP BY block HAVING max_by(source, entry_id) = 'src3')
 SELECT c.memory_type, count(DISTINCT c.block_id) AS n_dropped FROM ori JOIN comp c USING (block_id) GROUP BY 1""")
 def cascade_by_producer(spark, sf) -> DataFrame:
-    records, members = fx.provenance(spark, sf), fx.composition(spark, sf)
+    records, members = checkpointed(fx.provenance(spark, sf)), _ids(spark, sf)
     origins = ledger.made_by(records, "pipeline", "src3")
     found = graph.cascade(ledger.citations(records), fx.relations(spark, sf), members, origins)
     every = members.join(origins, "block_id", "left_semi").unionByName(graph.cascade_of_batch(found, origins)).distinct()
@@ -519,9 +524,9 @@ def _held(spark, sf) -> DataFrame:
 
 
 def _issues(spark, sf) -> tuple[DataFrame, DataFrame]:
-    candidates = _candidates(spark, sf)
+    candidates = checkpointed(_candidates(spark, sf))
     blobs = fx.documents(spark, sf).select(F.get_json_object("payload", "$.blob").alias("digest"), F.octet_length("text").cast("long").alias("size"))
-    return candidates, validate.issues(candidates, _held(spark, sf), blobs.distinct(), allowed=("semantic",))
+    return candidates, validate.issues(candidates, checkpointed(_held(spark, sf)), blobs.distinct(), allowed=("semantic",))
 
 
 @query(_CAND + " SELECT candidate, status, codes, n_issues FROM ver")
@@ -575,7 +580,7 @@ mg AS (SELECT memory_type, block_id, CASE WHEN b AND ((we AND NOT o) OR (they AN
 
 
 def _sides(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    own, h, past = fx.composition(spark, sf), F.substring("block_id", 8, 1), F.col("memory_type") == "episodic"
+    own, h, past = _ids(spark, sf), F.substring("block_id", 8, 1), F.col("memory_type") == "episodic"
     ours = own.where(((h >= "2") | past) & (h < "e") & (F.col("memory_type") != "procedural"))
     return own.where(h < "c"), ours, own.where(((h < "2") | (h >= "4") | past) & (h != "d"))
 
@@ -632,8 +637,9 @@ kp AS (SELECT block_id AS digest FROM new UNION SELECT digest FROM nm WHERE bloc
 SELECT digest FROM hd EXCEPT SELECT digest FROM kp""")
 def prune_sweep(spark, sf) -> DataFrame:
     """What is held but no longer reachable from the retained composition."""
-    own, blocks = fx.composition(spark, sf), _named(spark, sf)
-    _, new = _halves(spark, sf)
+    blocks = checkpointed(_named(spark, sf))
+    own = _ids(spark, sf)
+    new = own.where(F.substring("block_id", 8, 1) >= "4")
     held = own.select(F.col("block_id").alias("digest")).unionByName(retention.content_named(blocks).select("digest"))
     none = held.where(F.lit(False))
     return retention.sweep(held, retention.mark(new, blocks, none))
