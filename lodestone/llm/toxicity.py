@@ -3,21 +3,26 @@
 P(grade >= k | text) = sigmoid(w . x - theta_k) with one weight vector for all ordered thresholds
 theta_1 < theta_2 < ...; the expected severity is the sum of these probabilities.
 
-Features: for every distinct word ([^\\x20\\x09-\\x0D]+, A-Z lower-cased, punctuation of ASCII stripped at its ends)
-the word and its first five bytes, hashed to 2^22 places.  Grades: 0 not toxic, 1 toxic, 2 toxic and of low quality;
-a grade without labelled rows is held by a prior on the gap between thresholds.
+Features: a word ([^\\x20\\x09-\\x0D]+, A-Z lower-cased, punctuation of ASCII stripped at its ends) counts for itself and for
+its first three, four and five characters, hashed to 2^22 places.  Each place has two features: that it is there, and
+log2(1 + its share of the words in percent).
+
+Grades: those of a column severity of the labels, if they have one.  Else labels only tell toxic from not: then a
+first fit with one threshold scores the toxic rows, those up to their median get grade 1 and the others grade 2, and
+the ordinal fit is to grades 0, 1 and 2, over the features to which the first gave weight.  A grade without rows is held by a prior on the gap between thresholds.
 
 Fit: on at most max_fit_rows labelled rows (a documented bound; the rows with the smallest hash of their doc_id), by
 proximal AdaGrad with L1, on the driver.  Score: all documents, whole texts; only weights that are not zero are
-broadcast, at most 2^22 of them.
+broadcast, at most 2^23 of them.
 
 Defined results: null and empty texts have no features and get the score of the bare thresholds; labels with a null
-doc_id, or null toxic, are not used, null quality counts as good; of several labels of a document each is a row of
+doc_id, or null toxic, are not used; of several labels of a document each is a row of
 the fit; without labelled rows of both kinds every document gets severity 0.  Extra columns stay as they are.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,10 +34,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import as_bytes, map_arrow, source
 
 PLACES = 1 << 22
-MAX_FIT_ROWS = 8000
+MAX_FIT_ROWS = 5000
 GRADES = 3
-STEPS = 120
-RATE, L1 = 0.3, 2e-4
+STEPS = 300
+#: A share of words is taken of so many words at least.
+LEAST_WORDS = 30
+RATE, L1 = 0.3, 2e-3
+PREFIXES = (3, 4, 5)
 _PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _CACHE = 500_000
 
@@ -41,8 +49,8 @@ def word_places(word: bytes) -> list[int]:
     bare = word.strip(_PUNCTUATION)
     if not bare:
         return []
-    h = xxhash.xxh64_intdigest
-    return [h(bare, 1) % PLACES, h(bare[:5], 2) % PLACES]
+    h, text = xxhash.xxh64_intdigest, bare.decode()
+    return [h(bare) % PLACES, *(h(text[:k].encode(), k) % PLACES for k in PREFIXES if len(text) >= k)]
 
 
 class _Places(dict):
@@ -53,8 +61,23 @@ class _Places(dict):
         return found
 
 
-def features(raw: bytes | None, cache: _Places) -> np.ndarray:
-    return np.array(sorted({p for w in set((raw or b"").lower().split()) for p in cache[w]}), np.int32)
+Features = tuple[np.ndarray, np.ndarray]
+
+
+def valued(counts: dict[int, int], n_words: int) -> Features:
+    """Places (those of shares are behind the others) and values."""
+    at = np.array(sorted(counts), np.int32)
+    share = 100 * np.array([counts[p] for p in at.tolist()]) / max(n_words, LEAST_WORDS)
+    return np.concatenate((at, at + PLACES)).astype(np.int32), np.concatenate((np.ones(len(at)), np.log2(1 + share))).astype(np.float32)
+
+
+def features(raw: bytes | None, cache: _Places) -> Features:
+    words = Counter((raw or b"").lower().split())
+    counts: Counter = Counter()
+    for word, n in words.items():
+        for p in cache[word]:
+            counts[p] += n
+    return valued(counts, words.total())
 
 
 @dataclass
@@ -69,17 +92,16 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(np.asarray(score)[:, None] - np.array(self.thresholds), -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, steps: int = STEPS, rate: float = RATE, l1: float = L1) -> Ordinal:
-    """rows: the places of each row's features; grades 0 .. n_grades - 1."""
+def fit(rows: list[Features], grades: np.ndarray, n_grades: int = GRADES, steps: int = STEPS, rate: float = RATE, l1: float = L1) -> Ordinal:
+    """rows: places and values of each row's features; grades 0 .. n_grades - 1."""
     grades = np.asarray(grades)
     if not len(grades) or grades.min() == grades.max():
         return Ordinal({}, [50.0 + k for k in range(n_grades - 1)])
-    used, flat = np.unique(np.concatenate([*rows, np.zeros(0, np.int32)]), return_inverse=True)
-    df = np.bincount(flat, minlength=len(used))
-    sizes = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    keep = df[flat] >= 3
-    flat, owner = flat[keep], owner[keep]
+    places = np.concatenate([r[0] for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    keep = np.bincount(places, minlength=2 * PLACES)[places] >= 3
+    used, flat = np.unique(places[keep], return_inverse=True)
+    flat, owner, values = flat.astype(np.int32), owner[keep], np.concatenate([r[1] for r in rows])[keep]
     w, g2 = np.zeros(len(used)), np.full(len(used), 1e-8)
     # theta_1 and the logs of the gaps; both with AdaGrad
     share = np.array([(grades >= k).mean() for k in range(1, n_grades)])
@@ -87,7 +109,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, step
     t2 = np.full(len(theta), 1e-8)
     balance = np.where(grades > 0, 0.5 / max(1, (grades > 0).sum()), 0.5 / max(1, (grades == 0).sum()))
     for _ in range(steps):
-        score = np.bincount(owner, w[flat], minlength=len(rows))
+        score = np.bincount(owner, w[flat] * values, minlength=len(rows))
         cuts = theta[0] + np.concatenate(([0.0], np.cumsum(np.exp(theta[1:]))))
         # -log P(grade): P(grade = k) = S(score - cut_k) - S(score - cut_k+1)
         s = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -40, 40)))
@@ -96,12 +118,12 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, step
         p = np.maximum(upper - lower, 1e-12)
         d_upper, d_lower = upper * (1 - upper) / p, lower * (1 - lower) / p
         d_score = -(d_upper - d_lower) * balance
-        grad = np.bincount(flat, d_score[owner], minlength=len(w))
+        grad = np.bincount(flat, d_score[owner] * values, minlength=len(w))
         d_cuts = np.zeros(n_grades - 1)
         for k in range(n_grades - 1):
             d_cuts[k] = ((d_upper * (grades == k + 1) - d_lower * (grades == k)) * balance).sum()
         d_theta = np.array([d_cuts.sum()] + [np.exp(theta[k]) * d_cuts[k:].sum() for k in range(1, n_grades - 1)])
-        d_theta[1:] += 1e-3 * theta[1:]  # a gap of e^0 by itself
+        d_theta[1:] += 1e-3 * theta[1:]  # holds the gap below a grade without rows
         g2 += grad**2
         t2 += d_theta**2
         scale = rate / np.sqrt(g2)
@@ -113,13 +135,25 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, step
     return Ordinal(dict(zip(used[on].tolist(), w[on].tolist(), strict=True)), cuts.tolist())
 
 
+def fit_toxic(rows: list[Features], toxic: np.ndarray) -> Ordinal:
+    """toxic: 0 or 1.  Grades of the toxic rows by a first fit; see above."""
+    first = fit(rows, toxic, 2, STEPS // 2)
+    scored = np.array([score(r, first) for r in rows])
+    if not toxic.any():
+        return first
+    middle = np.median(scored[toxic == 1])
+    kept = np.zeros(2 * PLACES, bool)
+    kept[list(first.weights)] = True
+    rows = [(p[on], v[on]) for p, v in rows for on in [kept[p]]]
+    return fit(rows, toxic + ((toxic == 1) & (scored > middle)), GRADES)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Ordinal:
+    graded = "severity" in labels.columns
+    grade = F.col("severity") if graded else (F.col("toxic") != 0)
     chosen = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-        .select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.when(F.col("toxic") == 0, 0).when(F.coalesce("quality", F.lit(1)) == 0, 2).otherwise(1).alias("grade"),
-        )
+        labels.where(F.col("doc_id").isNotNull() & grade.isNotNull())
+        .select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "grade")
         .limit(max_fit_rows)
     )
@@ -127,38 +161,45 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS)
 
     def step(batch: pa.RecordBatch) -> list:
         cache = _Places()
-        return [batch.column(0), batch.column(2), [features(raw, cache) for raw in as_bytes(batch.column(1))]]
+        rows = [features(raw, cache) for raw in as_bytes(batch.column(1))]
+        return [batch.column(0), batch.column(2), [r[0] for r in rows], [r[1] for r in rows]]
 
-    got = map_arrow(texts, step, "doc_id long, grade int, places array<int>").toArrow()
+    got = map_arrow(texts, step, "doc_id long, grade int, places array<int>, vals array<float>").toArrow()
     order = np.lexsort((got["grade"].to_numpy(), got["doc_id"].to_numpy()))
-    places = got["places"].combine_chunks()
-    rows = [places[int(k)].values.to_numpy() for k in order]
-    return fit(rows, got["grade"].to_numpy()[order])
+    places, values = (got[c].combine_chunks() for c in ("places", "vals"))
+    rows = [(places[int(k)].values.to_numpy(), values[int(k)].values.to_numpy()) for k in order]
+    grades = got["grade"].to_numpy()[order]
+    return fit(rows, grades, max(GRADES, int(grades.max(initial=0)) + 1)) if graded else fit_toxic(rows, grades)
 
 
 class _Weights(dict):
     def __init__(self, weights: dict[int, float]):
         super().__init__()
         self.weights = weights
+        self.places = {p % PLACES for p in weights}
 
     def __missing__(self, word: bytes) -> tuple:
         if len(self) > _CACHE:
             self.clear()
-        self[word] = found = tuple(p for p in word_places(word) if p in self.weights)
+        self[word] = found = tuple(p for p in word_places(word) if p in self.places)
         return found
 
 
 def scores(raws: list[bytes | None], model: Ordinal, cache: _Weights) -> np.ndarray:
     out = []
     for raw in raws:
-        on: set[int] = set()
-        for found in map(cache.__getitem__, set((raw or b"").lower().split())):
+        words, counts = (raw or b"").lower().split(), Counter()
+        for found in map(cache.__getitem__, words):
             if found:
-                on.update(found)
-        out.append(sum(model.weights[p] for p in sorted(on)))
+                counts.update(found)
+        out.append(score(valued(counts, len(words)), model))
     return np.array(out, float)
 
 
+def score(row: Features, model: Ordinal) -> float:
+    return sum(model.weights.get(p, 0.0) * v for p, v in zip(row[0].tolist(), row[1].tolist(), strict=True))
+
+
 def assess(docs: DataFrame, model: Ordinal) -> DataFrame:
     """doc_id, expected_severity, severity (the most likely grade), p_toxic, toxic (p_toxic >= 0.5)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
