@@ -92,12 +92,12 @@ tree AS (WITH RECURSIVE t(memory_type, level, pos, n, hash) AS (
 
 @query(_TREE + " SELECT t.memory_type, t.hash AS root, c.n AS n_blocks FROM tree t JOIN (SELECT memory_type, count(*) AS n FROM comp GROUP BY 1) c ON c.memory_type = t.memory_type WHERE t.n = 1")
 def merkle_root_by_module(spark, sf) -> DataFrame:
-    return merkle.roots(fx.composition(spark, sf))
+    return merkle.roots(_ids(spark, sf))
 
 
 @query(_TREE + " SELECT memory_type, level, pos, hash FROM tree WHERE memory_type <> 'episodic'")
 def merkle_levels(spark, sf) -> DataFrame:
-    return merkle.levels(fx.composition(spark, sf).where("memory_type <> 'episodic'"))
+    return merkle.levels(_ids(spark, sf).where("memory_type <> 'episodic'"))
 
 
 _PROOFS = _TREE + """,
