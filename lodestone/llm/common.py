@@ -83,8 +83,20 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's defaults, which hold tens of MB on both sides of every Python worker.
+
+    A session that has set its own limits keeps them.
+    """
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "16777216b")):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, ours)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn: one batch to a list of columns (or None) in the schema's order."""
+    bounded_batches(df.sparkSession)
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ALNUM_TABLE, as_bytes, map_arrow, table
+from lodestone.llm.common import ALNUM_TABLE, as_bytes, bounded_batches, map_arrow, table
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -165,6 +165,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
     A scan without a shuffle: each batch is filtered where it stands.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     at = docs.columns.index("text")
     for windows in benchmark_blocks(benchmark, width, BLOCK_WORDS):
         shared = spark.sparkContext.broadcast(windows)
