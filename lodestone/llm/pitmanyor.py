@@ -13,9 +13,10 @@ counts of words in restaurants cover the whole corpus, grow with it, and stay di
 
 Seating is sampled by blocked Gibbs: given the totals of its restaurant and its parent's probability, the tables of
 one word in one restaurant are independent of all other words', so a sweep draws them anew, for the endings, then the
-last bytes, then the root.  A draw seats the customers one by one (a new table with weight a = (theta + d T) p_parent,
-an old one with n - d t); waiting times between new tables are beta-geometric, so time goes with tables, not with
-customers; of several draws one is taken by its importance weight.  Within a sweep, totals are those of the word's
+last bytes, then the root.  With a = (theta + d T) p_parent, t tables have weight a^t S_d(c, t), with generalised
+Stirling numbers; up to EXACT customers that is drawn from directly.  For more, customers are seated in turn (a new
+table with weight a, an old one with n - d t), in groups that grow with n, so that rounds go with the logarithm of c;
+of DRAWS such seatings one is taken by its importance weight, an approximation for the most frequent words.  Within a sweep, totals are those of the word's
 shard times the number of shards: shards are random sets of words.  After burn-in the samples' predictive
 probabilities, with exact totals of all shards, are averaged, and their logarithms are the score.
 
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_schema, as_bytes, map_arrow, source, table
+from lodestone.llm.common import arrow_schema, as_bytes, bounded_batches, map_arrow, source, table
 
-CHUNK = 1 << 22
-SHARD = 1 << 22
-BURN_IN, SAMPLES, DRAWS = 1, 2, 3
+CHUNK = 1 << 20
+SHARD = 1 << 20
+BURN_IN, SAMPLES = 1, 2
+#: Up to so many customers seatings are drawn exactly; beyond, from so many weighted seatings.
+EXACT, DRAWS = 512, 4
 #: Discount of the root, of last bytes and of endings; the concentration is the same for all.
 DISCOUNTS = (0.65, 0.7, 0.8)
 THETA = 1.0
@@ -57,6 +61,32 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
+def pack(x) -> bytes:
+    """Dicts, lists and tuples of arrays; integers go by planes of bytes, which compress far better."""
+
+    def planes(v):
+        if isinstance(v, np.ndarray) and v.dtype.kind in "iu":
+            return "planes", v.dtype.str, v.view(np.uint8).reshape(len(v), v.dtype.itemsize).T.tobytes()
+        if isinstance(v, dict):
+            return {k: planes(y) for k, y in v.items()}
+        return type(v)(map(planes, v)) if isinstance(v, (list, tuple)) else v
+
+    raw = pickle.dumps(planes(x), protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes):
+    def whole(v):
+        if isinstance(v, tuple) and len(v) == 3 and isinstance(v[0], str) and v[0] == "planes":
+            kind = np.dtype(v[1])
+            return np.frombuffer(np.frombuffer(v[2], np.uint8).reshape(kind.itemsize, len(v[2]) // kind.itemsize).T.tobytes(), kind)
+        if isinstance(v, dict):
+            return {k: whole(y) for k, y in v.items()}
+        return type(v)(map(whole, v)) if isinstance(v, (list, tuple)) else v
+
+    return whole(pickle.loads(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)))
+
+
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = found = len(self)
@@ -80,17 +110,24 @@ def build_chunk(docs: list[tuple[int | None, bytes | None]]) -> bytes:
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in ids), np.uint64, len(ids))
     endings = np.fromiter(map(_ending, ids), np.uint16, len(ids))
     order = np.argsort(hashes, kind="stable")
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    return pickle.dumps(
+    tokens = np.concatenate(parts)
+    often = np.argsort(-np.bincount(tokens, minlength=len(ids)), kind="stable")  # frequent words get small numbers
+    small, rank = np.empty((2, len(order)), np.int32)
+    small[often] = rank[order] = np.arange(len(order), dtype=np.int32)
+    return pack(
         {
             "doc_ids": [d for d, _ in docs], "held": np.array([is_held_out(d) for d, _ in docs], bool),
-            "sizes": np.array(sizes, np.int64), "tokens": rank[np.concatenate(parts)], "hashes": hashes[order], "endings": endings[order],
-        },
-        protocol=5,
+            "sizes": np.array(sizes, np.int64), "tokens": small[tokens], "ranks": rank[often], "hashes": hashes[order], "endings": endings[order],
+        }
     )
 
 
+def open_chunk(packed: bytes) -> dict:
+    own = unpack(packed)
+    own["tokens"] = own["ranks"][own["tokens"]]
+    return own
+
+
 def chunks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """chunk, shard (-1), payload, n_tokens."""
 
@@ -112,12 +149,13 @@ def chunks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     def row(number: int, held: list[tuple]) -> pa.RecordBatch:
         payload = build_chunk(held)
-        n = len(pickle.loads(payload)["tokens"])
+        n = len(unpack(payload)["tokens"])
         return pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([payload], pa.binary()), pa.array([n], pa.int64())],
             names=["chunk", "shard", "payload", "n_tokens"],
         )
 
+    bounded_batches(docs.sparkSession)
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return columns.mapInArrow(run, BLOB + ", n_tokens long")
 
@@ -143,7 +181,7 @@ def shard_edges(hashes: np.ndarray, n_shards: int) -> np.ndarray:
 
 def questions(chunk: bytes, n_shards: int) -> list[tuple[int, bytes]]:
     """For each shard the chunk's words of that shard, and for each its pairs with the counts to learn from."""
-    own = pickle.loads(chunk)
+    own = open_chunk(chunk)
     codes = pair_codes(own)
     pairs = np.unique(codes)
     learned, counts = np.unique(codes[~np.repeat(own["held"], own["sizes"])], return_counts=True)
@@ -157,53 +195,72 @@ def questions(chunk: bytes, n_shards: int) -> list[tuple[int, bytes]]:
         a, b, lo, hi = cuts[s], cuts[s + 1], edges[s], edges[s + 1]
         per_word = np.bincount(word[a:b] - lo, minlength=hi - lo).astype(np.uint32)
         asked = {"hashes": own["hashes"][lo:hi], "pairs": per_word, "endings": (pairs[a:b] & 0xFFFF).astype(np.uint16), "customers": customers[a:b]}
-        out.append((int(s), pickle.dumps(asked, protocol=5)))
+        out.append((int(s), pack(asked)))
     return out
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after a shift of 8."""
-    shift = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
-    small = x < 8
-    y = np.where(small, x + 8, x)
-    inverse = 1 / y
-    series = inverse * (1 / 12 - inverse**2 * (1 / 360 - inverse**2 / 1260))
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - np.where(small, np.log(np.where(small, shift, 1.0)), 0.0)
+def squeezed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, nearly all of them small, as a byte each; from 255 on they are listed by place."""
+    large = np.flatnonzero(x >= 255)
+    return np.minimum(x, 255).astype(np.uint8), large.astype(np.uint32), x[large].astype(np.uint32)
 
 
-def _draw(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Seats c[i] customers one by one.  Returns tables and the log of target over proposal."""
+def spread(x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    out = x[0].astype(float)
+    out[x[1]] = x[2]
+    return out
+
+
+def _draw(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator, leap: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Seats c[i] customers.  Returns tables and the log of target over proposal.
+
+    Up to 1 / leap customers one by one, then in groups of n * leap, within which the chance of a new table is taken
+    as constant: rounds grow with the logarithm of c.
+    """
     t, n, weight = np.ones(len(c)), np.ones(len(c)), np.zeros(len(c))
     on = np.arange(len(c))
     while len(on):
-        old = n[on] - d * t[on]
-        p = np.clip(rng.beta(a[on], old), 1e-15, 1.0)
-        opens = n[on] + rng.geometric(p)
-        stop = np.minimum(opens, c[on])
-        weight[on] += log_gamma(a[on] + stop - d * t[on]) - log_gamma(a[on] + old)
-        again = opens <= c[on]
-        on = on[again]
-        n[on] = opens[again]
-        t[on] += 1
+        m = np.minimum(np.maximum(1, np.floor(n[on] * leap)), c[on] - n[on])
+        free = a[on] + n[on] + (m - 1) / 2 - d * t[on]
+        weight[on] += m * np.log(free)
+        t[on] += rng.binomial(m.astype(np.int64), np.minimum(a[on] / free, 1))
+        n[on] += m
         on = on[n[on] < c[on]]
     return t, weight
 
 
+@cache
+def log_stirling(d: float) -> np.ndarray:
+    """Logs of the generalised Stirling numbers S_d(c, t) for c up to EXACT: the weight of all seatings with t tables."""
+    out = np.full((EXACT + 1, EXACT + 2), -np.inf)
+    out[0, 0] = 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for n in range(EXACT):
+            stay = np.log(np.maximum(n - d * np.arange(EXACT + 2), 0)) + out[n]
+            out[n + 1, 1:] = np.logaddexp(out[n, :-1], stay[1:])
+    return out
+
+
 def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator, draws: int = DRAWS) -> np.ndarray:
-    """Tables for c customers of one word in one restaurant; no customers, no tables."""
+    """Tables for c customers of one word in one restaurant; no customers, no tables.
+
+    Their probability is proportional to a^t S_d(c, t).  Up to EXACT customers it is drawn from directly; beyond that
+    the customers are seated `draws` times in turn, and one of the seatings is taken by its weight.
+    """
     tables = np.minimum(c, 1).astype(float)
-    many = np.flatnonzero(c > 1)
-    if not len(many):
-        return tables
-    c, a = c[many].astype(float), np.maximum(a[many], 1e-12)
-    chosen, best = _draw(c, a, d, rng)
-    best = best + rng.gumbel(size=len(c))  # the largest of log weight + Gumbel noise is a draw by weight
-    for _ in range(draws - 1):
-        t, weight = _draw(c, a, d, rng)
-        weight = weight + rng.gumbel(size=len(c))
-        better = weight > best
-        chosen, best = np.where(better, t, chosen), np.where(better, weight, best)
-    tables[many] = chosen
+    a = np.maximum(a, 1e-12)
+    stirling = log_stirling(d)
+    for n in np.unique(c[(c > 1) & (c <= EXACT)]).astype(int):
+        at = np.flatnonzero(c == n)
+        t = np.arange(1, n + 1)
+        noise = rng.gumbel(size=(len(at), n))
+        tables[at] = 1 + np.argmax(np.log(a[at])[:, None] * t + stirling[n, 1 : n + 1] + noise, 1)
+    many = np.flatnonzero(c > EXACT)
+    if len(many):
+        t, weight = _draw(np.tile(c[many].astype(float), draws), np.tile(a[many], draws), d, rng)
+        t, weight = t.reshape(draws, -1), weight.reshape(draws, -1)
+        # the largest of log weight + Gumbel noise is a draw by weight
+        tables[many] = t[np.argmax(weight + rng.gumbel(size=weight.shape), 0), np.arange(len(many))]
     return tables
 
 
@@ -256,7 +313,7 @@ def sample_shard(word: np.ndarray, ending: np.ndarray, customers: np.ndarray, n_
 
 def answer_shard(shard: int, asked: list[tuple[int, bytes]], n_shards: int) -> list[tuple[int, bytes]]:
     """Answers to the chunks, and under chunk -1 the shard's part of the totals."""
-    got = [(chunk, pickle.loads(x)) for chunk, x in asked]
+    got = [(chunk, unpack(x)) for chunk, x in asked]
     hashes = np.unique(np.concatenate([x["hashes"] for _, x in got]))
     codes = []
     for _, x in got:
@@ -273,22 +330,19 @@ def answer_shard(shard: int, asked: list[tuple[int, bytes]], n_shards: int) -> l
         sums = np.stack([level.totals(x[i][k]) for x in samples for i in (0, 1)])
         on = np.flatnonzero(sums.any(0))
         totals["levels"].append((on, sums[:, on]))
-    out = [(-1, pickle.dumps(totals, protocol=5))]
+    out = [(-1, pack(totals))]
     begin = 0
     for (chunk, x), own in zip(got, codes, strict=True):
         at = inverse[begin : begin + len(own)]
         begin += len(own)
-        up1 = levels[2].up[at]
-        counts = []
-        for c, t in samples:
-            counts += [c[2][at], t[2][at], c[1][up1], t[1][up1]]
+        lasts = np.unique(levels[2].up[at])  # in the order of the chunk's own (word, last byte)
         words = np.searchsorted(hashes, x["hashes"])
-        roots = [y[0][words] for s in samples for y in s]
         answer = {
-            "pairs": np.stack(counts).astype(np.uint32), "roots": np.stack(roots).astype(np.uint32),
-            "seen": seen[words], "per_word": x["pairs"],
+            "customers": squeezed(samples[0][0][2][at]), "tables": [squeezed(t[2][at]) for _, t in samples],
+            "lasts": [squeezed(y[1][lasts]) for s in samples for y in s],
+            "roots": [squeezed(y[0][words]) for s in samples for y in s], "seen": squeezed(seen[words]),
         }
-        out.append((chunk, pickle.dumps(answer, protocol=5)))
+        out.append((chunk, pack(answer)))
     return out
 
 
@@ -298,7 +352,7 @@ def sum_totals(answers: DataFrame) -> dict:
     def step(batch: pa.RecordBatch) -> list:
         out: list[list] = [[], [], []]
         for x in as_bytes(batch.column(2)):
-            own = pickle.loads(x)
+            own = unpack(x)
             rows = [(-1, 0, [float(own["tokens"]), float(own["known"])])]
             for k, (on, sums) in enumerate(own["levels"]):
                 rows += [(k, int(u), sums[:, i].tolist()) for i, u in enumerate(on)]
@@ -321,21 +375,26 @@ def sum_totals(answers: DataFrame) -> dict:
 
 def score_chunk(chunk: bytes, answers: list[tuple[int, bytes]], totals: dict) -> list[np.ndarray | list]:
     """answers in the order of shards, which is the order of the chunk's words."""
-    own = pickle.loads(chunk)
+    own = open_chunk(chunk)
     codes = pair_codes(own)
     pairs, inverse = np.unique(codes, return_inverse=True)
-    got = [pickle.loads(x) for _, x in answers]
-    counts = np.concatenate([x["pairs"] for x in got], 1).astype(float)
-    roots = np.concatenate([x["roots"] for x in got], 1).astype(float)
-    seen = np.concatenate([x["seen"] for x in got])
+    got = [unpack(x) for _, x in answers]
+    joined = lambda parts: np.concatenate([spread(x) for x in parts])
+    seen = joined(x["seen"] for x in got)
     word, ending = pairs >> 16, pairs & 0xFFFF
+    last = word << 8 | (ending & 0xFF)
+    lasts, to_last = np.unique(last, return_inverse=True)
+    customers = joined(x["customers"] for x in got)
     base = 1 / (totals["known"] + 1)
     mean = np.zeros(len(pairs))
     for s in range(SAMPLES):
         c_all, t_all = ([level[2 * s + i] for level in totals["levels"]] for i in (0, 1))
-        p = Level(np.zeros(len(roots[0]), np.int64), None, 1, DISCOUNTS[0]).predict(roots[2 * s], roots[2 * s + 1], c_all[0], t_all[0], base)
-        p = Level(ending & 0xFF, None, 256, DISCOUNTS[1]).predict(counts[4 * s + 2], counts[4 * s + 3], c_all[1], t_all[1], p[word])
-        p = Level(ending, None, 65_536, DISCOUNTS[2]).predict(counts[4 * s], counts[4 * s + 1], c_all[2], t_all[2], p)
+        c, t = (joined(x["roots"][2 * s + i] for x in got) for i in (0, 1))
+        p = Level(np.zeros(len(c), np.int64), None, 1, DISCOUNTS[0]).predict(c, t, c_all[0], t_all[0], base)
+        c, t = (joined(x["lasts"][2 * s + i] for x in got) for i in (0, 1))
+        p = Level(lasts & 0xFF, None, 256, DISCOUNTS[1]).predict(c, t, c_all[1], t_all[1], p[lasts >> 8])
+        t = joined(x["tables"][s] for x in got)
+        p = Level(ending, None, 65_536, DISCOUNTS[2]).predict(customers, t, c_all[2], t_all[2], p[to_last])
         mean += p / SAMPLES
     starts = np.concatenate(([0], np.cumsum(own["sizes"])[:-1]))
     sums = lambda x: np.add.reduceat(x, starts)

@@ -281,7 +281,7 @@ def test_seating_follows_the_exact_posterior():
     drawn = pitmanyor.seat(np.full(200_000, c), np.full(200_000, a), d, np.random.default_rng(0))
     share = np.bincount(drawn.astype(int), minlength=c + 1)[1:] / len(drawn)
     assert np.abs(share - weight / weight.sum()).max() < 0.005
-    # seating customers one by one, weighted, has the same distribution
+    # seating customers one by one (here all are), weighted, has the same distribution
     t, log_weight = pitmanyor._draw(np.full(400_000, float(c)), np.full(400_000, a), d, np.random.default_rng(1))
     w = np.exp(log_weight - log_weight.max())
     share = np.bincount(t.astype(int), w, minlength=c + 1)[1:] / w.sum()
