@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import as_bytes, map_arrow, source
 
 PLACES = 1 << 22
-MAX_FIT_ROWS = 5000
+MAX_FIT_ROWS = 4000
 GRADES = 3
 STEPS = 300
 #: A share of words is taken of so many words at least.
@@ -99,9 +99,13 @@ def fit(rows: list[Features], grades: np.ndarray, n_grades: int = GRADES, steps:
         return Ordinal({}, [50.0 + k for k in range(n_grades - 1)])
     places = np.concatenate([r[0] for r in rows])
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
-    keep = np.bincount(places, minlength=2 * PLACES)[places] >= 3
-    used, flat = np.unique(places[keep], return_inverse=True)
-    flat, owner, values = flat.astype(np.int32), owner[keep], np.concatenate([r[1] for r in rows])[keep]
+    used = np.flatnonzero(np.bincount(places, minlength=2 * PLACES) >= 3)
+    number = np.full(2 * PLACES, -1, np.int32)
+    number[used] = np.arange(len(used))
+    flat = number[places]
+    keep = flat >= 0
+    flat, owner, values = flat[keep], owner[keep], np.concatenate([r[1] for r in rows])[keep]
+    del places, number, keep
     w, g2 = np.zeros(len(used)), np.full(len(used), 1e-8)
     # theta_1 and the logs of the gaps; both with AdaGrad
     share = np.array([(grades >= k).mean() for k in range(1, n_grades)])
@@ -109,7 +113,7 @@ def fit(rows: list[Features], grades: np.ndarray, n_grades: int = GRADES, steps:
     t2 = np.full(len(theta), 1e-8)
     balance = np.where(grades > 0, 0.5 / max(1, (grades > 0).sum()), 0.5 / max(1, (grades == 0).sum()))
     for _ in range(steps):
-        score = np.bincount(owner, w[flat] * values, minlength=len(rows))
+        score = np.bincount(owner, w.astype(np.float32)[flat] * values, minlength=len(rows))
         cuts = theta[0] + np.concatenate(([0.0], np.cumsum(np.exp(theta[1:]))))
         # -log P(grade): P(grade = k) = S(score - cut_k) - S(score - cut_k+1)
         s = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -40, 40)))
@@ -118,7 +122,7 @@ def fit(rows: list[Features], grades: np.ndarray, n_grades: int = GRADES, steps:
         p = np.maximum(upper - lower, 1e-12)
         d_upper, d_lower = upper * (1 - upper) / p, lower * (1 - lower) / p
         d_score = -(d_upper - d_lower) * balance
-        grad = np.bincount(flat, d_score[owner] * values, minlength=len(w))
+        grad = np.bincount(flat, d_score.astype(np.float32)[owner] * values, minlength=len(w))
         d_cuts = np.zeros(n_grades - 1)
         for k in range(n_grades - 1):
             d_cuts[k] = ((d_upper * (grades == k + 1) - d_lower * (grades == k)) * balance).sum()
