@@ -67,9 +67,11 @@ def shingle_hashes(raw: bytes | None, shingle: int) -> np.ndarray:
     return np.fromiter((hash_of(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
 
 
-def fingerprint(raw: bytes | None, shingle: int, words: int = 1) -> bytes:
-    """`words` 64-bit words, little-endian."""
+def fingerprint(raw: bytes | None, shingle: int, words: int = 1, distinct: bool = False) -> bytes:
+    """`words` 64-bit words, little-endian; distinct: each different shingle counts once."""
     hashes = shingle_hashes(raw, shingle)
+    if distinct:
+        hashes = np.unique(hashes)
     n = len(hashes)
     if not n:
         return bytes(8 * words)
@@ -84,13 +86,13 @@ def fingerprint(raw: bytes | None, shingle: int, words: int = 1) -> bytes:
     return np.packbits(2 * counts > n, bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int, words: int = 1, keep: tuple[str, ...] = ("doc_id",), distinct: bool = False) -> DataFrame:
     """doc_id (and what else is kept), fp: a long, or binary if it has several words."""
     kept = [F.col(c) for c in keep]
     types = dict(docs.dtypes)
 
     def step(batch: pa.RecordBatch) -> list:
-        found = [fingerprint(raw, shingle, words) for raw in as_bytes(batch.column(batch.num_columns - 1))]
+        found = [fingerprint(raw, shingle, words, distinct) for raw in as_bytes(batch.column(batch.num_columns - 1))]
         fp = np.frombuffer(b"".join(found), "<i8") if words == 1 else found
         return [*batch.columns[:-1], fp]
 
@@ -263,7 +265,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     )
 
 
-#: Of the pipeline: five words, similarity 0.8.  Two sets with Jaccard similarity J and about the same size have
+#: Of the pipeline: five words, each different shingle once, similarity 0.8.  Two sets with Jaccard similarity J and about the same size have
 #: cosine 2J/(1+J), and SimHash bits differ with probability arccos(cosine)/pi; one standard deviation is added.
 LONG_WORDS = 8
 LONG_SHINGLE = 5
@@ -282,7 +284,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: f
     Wordless texts are one group.  Of rows with the same doc_id and text one stays.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_key(F.col("text")))
-    fps = table(fingerprints(keyed, shingle, words, ("doc_id", "__t1", "__t2")), "simhash-long")
+    fps = table(fingerprints(keyed, shingle, words, ("doc_id", "__t1", "__t2"), distinct=True), "simhash-long")
     groups = fps.join(grouped(fps, similarity_radius(similarity, words), words), "fp")
     first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "__t1", "__t2")).alias("first"))
     stays = table(first.select(F.col("first.doc_id").alias("__id"), F.col("first.__t1").alias("__u1"), F.col("first.__t2").alias("__u2")), "stays")
