@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,11 +85,25 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's sources to the executors, once a context: their Python need not find it by itself."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(context, "_lodestone_shipped", False) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone_sources.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._lodestone_shipped = True
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches than Spark's defaults, which hold tens of MB on both sides of every Python worker.
 
     A session that has set its own limits keeps them.
     """
+    ship(spark)
     for key, default, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "16777216b")):
         name = f"spark.sql.execution.arrow.{key}"
         if spark.conf.get(name) == default:
