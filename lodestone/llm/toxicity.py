@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_bytes, map_arrow, source
+from lodestone.llm.common import as_bytes, bounded_batches, map_arrow, source
 
 PLACES = 1 << 22
 MAX_FIT_ROWS = 4000
@@ -42,7 +42,8 @@ LEAST_WORDS = 30
 RATE, L1 = 0.3, 2e-3
 PREFIXES = (3, 4, 5)
 _PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
-_CACHE = 500_000
+#: Words that a Python worker remembers; some 400 bytes each.
+_CACHE = 100_000
 
 
 def word_places(word: bytes) -> list[int]:
@@ -231,6 +232,7 @@ def _cache_of(model: Ordinal) -> _Weights:
 
 def drop_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
     """docs, with all their columns, without those whose p_toxic is 0.5 or more."""
+    bounded_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def step(batches):
