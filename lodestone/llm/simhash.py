@@ -19,6 +19,9 @@ meet.  Between classes:
     own, so no bucket is ever gathered in one task and no pair is lost.
 Groups across buckets: see components.
 
+Near copies of the pipeline (keep_one_of_each) are linked by exact Jaccard similarity.  There long fingerprints only
+propose pairs; a prefix filter proposes all others that can be similar, and every proposal is verified.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows get the same
 result each; component_id is the smallest doc_id that is not null, or null if there is none; other columns are not
 looked at.
@@ -26,6 +29,7 @@ looked at.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -70,8 +74,10 @@ def shingle_hashes(raw: bytes | None, shingle: int) -> np.ndarray:
 def fingerprint(raw: bytes | None, shingle: int, words: int = 1, distinct: bool = False) -> bytes:
     """`words` 64-bit words, little-endian; distinct: each different shingle counts once."""
     hashes = shingle_hashes(raw, shingle)
-    if distinct:
-        hashes = np.unique(hashes)
+    return bits_of(np.unique(hashes) if distinct else hashes, words)
+
+
+def bits_of(hashes: np.ndarray, words: int) -> bytes:
     n = len(hashes)
     if not n:
         return bytes(8 * words)
@@ -278,14 +284,141 @@ def similarity_radius(similarity: float, words: int) -> int:
     return int(bits * p + np.sqrt(bits * p * (1 - p)))
 
 
+#: Texts from which the order of shingles is learned, and how many shingles of them are known as frequent.  The order
+#: decides how many pairs meet, never which of them link.
+ORDER_TEXTS, ORDER_SHINGLES = 4096, 200_000
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Two sets with that Jaccard similarity share ceil(similarity * n) of either's n members at least, so in any common
+    order their first n - ceil(similarity * n) + 1 members share one."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the shingles that several texts of a sample share; they come last in prefixes."""
+    of = max(1, docs.count() // ORDER_TEXTS)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(of)) == 0).select("text")
+
+    def step(batch: pa.RecordBatch) -> list:
+        return [np.concatenate([np.unique(shingle_hashes(raw, shingle)) for raw in as_bytes(batch.column(0))]).view(np.int64)]
+
+    counts = map_arrow(sample, step, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = counts.orderBy(F.desc("n"), "key").limit(ORDER_SHINGLES).toArrow()
+    keys, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def shingle_sets(docs: DataFrame, shingle: int, similarity: float, words: int) -> DataFrame:
+    """doc_id, __t1, __t2, cls (a hash of the set of shingles), n (its size), fp, prefix."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
+
+    def step(batch: pa.RecordBatch) -> list:
+        keys, often = frequent.value
+        out: list[list] = [[], [], [], []]
+        for raw in as_bytes(batch.column(3)):
+            own = np.unique(shingle_hashes(raw, shingle))
+            rank = np.zeros(len(own), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                rank = np.where(keys[at] == own, often[at], 0)
+            first = own[np.lexsort((own, rank))[: prefix_length(len(own), similarity)]]
+            cls = signed(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+            for column, value in zip(out, (cls, len(own), bits_of(own, words), first.view(np.int64)), strict=True):
+                column.append(value)
+        return [*batch.columns[:-1], *out]
+
+    return map_arrow(
+        docs.select("doc_id", "__t1", "__t2", "text"), step,
+        "doc_id long, __t1 long, __t2 long, cls long, n int, fp binary, prefix array<long>",
+    )
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of classes, a < b, those with that exact Jaccard similarity of their sets of shingles."""
+    pairs = table(pairs.select("a", "b").distinct(), "near-pairs")
+    need = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    need = need.join(classes, "cls").select("cls", "text_of.*")
+    texts = docs.select("text", "__t1", "__t2").join(need, ["__t1", "__t2"]).groupBy("cls").agg(F.first("text").alias("text"))
+
+    def sets(batch: pa.RecordBatch) -> list:
+        return [batch.column(0), [np.unique(shingle_hashes(raw, shingle)).tobytes() for raw in as_bytes(batch.column(1))]]
+
+    def check(batch: pa.RecordBatch) -> list | None:
+        keep = []
+        for k, (x, y) in enumerate(zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True)):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                keep.append(k)
+        return [c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]] if keep else None
+
+    own = table(map_arrow(texts, sets, "cls long, own binary"), "near-sets")
+    joined = pairs.join(own.select(F.col("cls").alias("a"), F.col("own").alias("x")), "a")
+    joined = joined.join(own.select(F.col("cls").alias("b"), F.col("own").alias("y")), "b")
+    return table(map_arrow(joined.select("a", "b", "x", "y"), check, "a long, b long"), "near-links")
+
+
+def similar_groups(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float, words: int) -> DataFrame:
+    """Returns (node, root) of classes that are linked to others; links have that exact Jaccard similarity, and none is missed.
+
+    Pairs are proposed in three steps, and the later ones leave out what is one group already: by fingerprints (copies
+    of one text mostly become one group here, without all their pairs), then each class with the first class of each
+    bucket of the prefix filter, then all pairs of these buckets.
+    """
+    classes = table(
+        sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(F.struct("__t1", "__t2")).alias("text_of")),
+        "near-classes",
+    )
+    ordered = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    check = lambda pairs: verified(pairs, docs, classes, shingle, similarity)
+
+    fps = table(classes.where("n > 0").groupBy("fp").agg(F.min("cls").alias("head")), "near-fingerprints")
+    keys = [
+        F.struct(F.lit(k).alias("k1"), F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("long").alias("k2"))
+        for k in range(4 * words)
+    ]
+    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.k1", "k.k2", "fp")
+    met = links_in_buckets(keyed, similarity_radius(similarity, words), words).distinct()
+    met = met.join(fps.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
+    met = met.join(fps.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    same = classes.where("n > 0").join(fps, "fp")
+    links = check(ordered(met, "x", "y").union(ordered(same, "cls", "head")))
+
+    held = sets.select("cls", "n", F.explode("prefix").alias("key"))
+    shared = held.groupBy("key").agg(F.min("cls").alias("head"), F.max("cls").alias("other")).where("head <> other")
+    held = table(held.join(shared.select("key", "head"), "key").distinct(), "near-prefixes")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        roots = components(links, "near-groups")
+        return held.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+
+    heads = labelled(links)
+    first = heads.where("cls = head").select("key", F.col("n").alias("n1"), F.col("root").alias("root1"))
+    close = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    star = heads.join(first, "key").where((F.col("root") != F.col("root1")) & close("n", "n1"))
+    links = table(links.union(check(ordered(star, "cls", "head"))), "near-links")
+
+    rest = labelled(links)
+    mixed_keys = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rest = table(rest.join(mixed_keys, "key", "left_semi").where("cls <> head"), "near-rest")
+    left, right = rest.select("key", "cls", "n", "root"), rest.select("key", *(F.col(c).alias(c + "1") for c in ("cls", "n", "root")))
+    pairs = left.join(right, "key").where("cls < cls1 and root <> root1").where(close("n", "n1"))
+    return components(links.union(check(ordered(pairs, "cls", "cls1"))), "near-groups")
+
+
 def keep_one_of_each(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: float = SIMILARITY, words: int = LONG_WORDS) -> DataFrame:
-    """docs, with all their columns, with one document (the smallest doc_id) of each group of near duplicates.
+    """docs, with all their columns, with one document (the smallest doc_id) of each group of near duplicates: texts
+    are linked by the exact Jaccard similarity of their sets of shingles, and links are closed transitively.
 
     Wordless texts are one group.  Of rows with the same doc_id and text one stays.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_key(F.col("text")))
-    fps = table(fingerprints(keyed, shingle, words, ("doc_id", "__t1", "__t2"), distinct=True), "simhash-long")
-    groups = fps.join(grouped(fps, similarity_radius(similarity, words), words), "fp")
+    sets = table(shingle_sets(keyed, shingle, similarity, words), "shingle-sets")
+    roots = similar_groups(keyed, sets, shingle, similarity, words)
+    fps = sets.select("doc_id", "__t1", "__t2", "cls")
+    groups = fps.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "__t1", "__t2")).alias("first"))
     stays = table(first.select(F.col("first.doc_id").alias("__id"), F.col("first.__t1").alias("__u1"), F.col("first.__t2").alias("__u2")), "stays")
     own = docs.select("*", *text_key(F.col("text")))

@@ -180,6 +180,41 @@ def test_near_copies_leave_one(spark, make_docs, odd_rows):
     assert simhash.keep_one_of_each(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [0, 200_000])
+def test_near_copies_by_exact_similarity(spark, make_docs, monkeypatch, frequent):
+    """Pairs at 0.80 to 0.85 leave one, pairs at 0.70 to 0.79 leave both; all against brute force."""
+    monkeypatch.setattr(simhash, "ORDER_SHINGLES", frequent)
+    rows, passage = [], " ".join(f"common{i}" for i in range(60))
+    for k in range(120):
+        words = [f"w{k}x{i}" for i in range(204 + k % 7)]
+        changed = list(words)
+        edits = (3 + k % 2) if k < 60 else (5 + k % 3)
+        for e in range(edits):
+            changed[5 + 12 * e] = f"edit{k}x{e}"
+        tail = f" {passage}" if k % 3 == 0 else ""
+        rows += [(2 * k, " ".join(words) + tail), (2 * k + 1, " ".join(changed) + tail)]
+    rows += [(1000 + k, " ".join(f"w0x{i}" for i in range(204 + k % 3))) for k in range(30)] + [(2000, passage), (2001, passage + " more")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    parent, at = list(range(len(rows))), {"near": 0, "far": 0}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for j in range(len(rows)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            similarity = both / (len(sets[i]) + len(sets[j]) - both)
+            at["near"] += 0.8 <= similarity <= 0.85
+            at["far"] += 0.7 <= similarity < 0.8
+            if similarity >= 0.8 and root(i) != root(j):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert at["near"] >= 30 and at["far"] >= 30, at
+    want = sorted(rows[i][0] for i in range(len(rows)) if root(i) == i)
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(make_docs(rows)).select("doc_id").collect()) == want
+
+
 def brute_base_labels(text):
     words = ALNUM.findall((text or "").translate(LOWER))
     places, labels = [], set()
