@@ -16,13 +16,14 @@ one word in one restaurant are independent of all other words', so a sweep draws
 last bytes, then the root.  With a = (theta + d T) p_parent, t tables have weight a^t S_d(c, t), with generalised
 Stirling numbers; up to EXACT customers that is drawn from directly.  For more, customers are seated in turn (a new
 table with weight a, an old one with n - d t), in groups that grow with n, so that rounds go with the logarithm of c;
-of DRAWS such seatings one is taken by its importance weight, an approximation for the most frequent words.  Within a sweep, totals are those of the word's
-shard times the number of shards: shards are random sets of words.  After burn-in the samples' predictive
-probabilities, with exact totals of all shards, are averaged, and their logarithms are the score.
+of DRAWS such seatings one is taken by its importance weight, an approximation for the most frequent words.  A sweep uses the totals
+of all shards after the sweep before, added up and broadcast.  After burn-in the samples' predictive probabilities are
+averaged, and their logarithms are the score.
 
 How it runs.  Documents become chunks of about CHUNK tokens (one Parquet table: ids of tokens, hashes of words).
-Each chunk sends the distinct (word, ending) pairs with counts to the shards of words; a shard samples and answers
-each chunk in the order of its question; a chunk adds up its documents.  Words are 64-bit hashes.  Seeds are fixed by
+Each chunk sends the distinct (word, ending) pairs with counts to the shards of words, which merge them to a state, one
+row a shard; every sweep rewrites the states; then a shard answers each chunk in the order of its question, and a chunk
+adds up its documents.  Words are 64-bit hashes.  Seeds are fixed by
 the shard, so that a task which runs again gives the same answer.
 
 Defined results: null and empty texts have one token, the end; a document with a null doc_id is learned from;
@@ -278,67 +279,125 @@ class Level:
         return (c - self.d * t) / below + (THETA + self.d * t_all[self.at]) / below * parent
 
 
-def sample_shard(word: np.ndarray, ending: np.ndarray, customers: np.ndarray, n_shards: int, seed: int) -> dict:
-    """Rows are the distinct (word, ending), sorted.  Returns counts of every sample and level, and the levels."""
-    rng = np.random.default_rng(seed)
-    last = word << 8 | (ending & 0xFF)
-    last_keys, to_last = np.unique(last, return_inverse=True)
+def levels_of(word: np.ndarray, ending: np.ndarray) -> list[Level]:
+    """Rows are the distinct (word, ending), sorted."""
+    last_keys, to_last = np.unique(word << 8 | (ending & 0xFF), return_inverse=True)
     words, to_word = np.unique(last_keys >> 8, return_inverse=True)
-    levels = [
+    return [
         Level(np.zeros(len(words), np.int64), None, 1, DISCOUNTS[0]),
         Level(last_keys & 0xFF, to_word, 256, DISCOUNTS[1]),
         Level(ending.astype(np.int64), to_last, 65_536, DISCOUNTS[2]),
     ]
-    c = [np.zeros(0), np.zeros(0), customers.astype(float)]
-    t = [np.zeros(0), np.zeros(0), np.minimum(c[2], 1)]
+
+
+def customers_of(levels: list[Level], customers: np.ndarray, t: list[np.ndarray]) -> list[np.ndarray]:
+    """A table of a restaurant is a customer of its parent."""
+    return [*(np.bincount(levels[k + 1].up, t[k + 1], minlength=len(levels[k].at)) for k in (0, 1)), customers.astype(float)]
+
+
+def first_tables(levels: list[Level], customers: np.ndarray) -> list[np.ndarray]:
+    t = [np.zeros(0), np.zeros(0), np.minimum(customers, 1).astype(float)]
     for k in (1, 0):
-        c[k] = np.bincount(levels[k + 1].up, t[k + 1], minlength=len(levels[k].at))
-        t[k] = np.minimum(c[k], 1)
-    known = max(1.0, float((c[0] > 0).sum()) * n_shards)
-    samples = []
+        t[k] = np.minimum(np.bincount(levels[k + 1].up, t[k + 1], minlength=len(levels[k].at)), 1).astype(float)
+    return t
+
+
+def own_totals(levels: list[Level], customers: np.ndarray, t: list[np.ndarray]) -> list[np.ndarray]:
+    c = customers_of(levels, customers, t)
+    return [np.stack((level.totals(c[k]), level.totals(t[k]))) for k, level in enumerate(levels)]
+
+
+def sweep_once(levels: list[Level], customers: np.ndarray, t: list[np.ndarray], totals: list[np.ndarray], known: float, rng: np.random.Generator) -> list[np.ndarray]:
+    """totals: customers and tables of every restaurant in the whole corpus, before the sweep."""
+    t, c = list(t), customers_of(levels, customers, t)
+    parents = [np.full(len(levels[0].at), 1 / (max(1.0, known) + 1))]
+    for k in (0, 1):
+        parents.append(levels[k].predict(c[k], t[k], *totals[k], parents[k])[levels[k + 1].up])
+    for k in (2, 1, 0):
+        if k < 2:
+            c[k] = np.bincount(levels[k + 1].up, t[k + 1], minlength=len(levels[k].at))
+        t[k] = seat(c[k], (THETA + levels[k].d * totals[k][1][levels[k].at]) * parents[k], levels[k].d, rng)
+    return t
+
+
+def sample_shard(word: np.ndarray, ending: np.ndarray, customers: np.ndarray, n_shards: int, seed: int) -> dict:
+    """All sweeps of a corpus that is one shard.  Returns counts of every sample and level, and the levels."""
+    if n_shards != 1:
+        raise ValueError("totals of several shards are added up between sweeps: see score")
+    levels = levels_of(word, ending)
+    t, samples = first_tables(levels, customers), []
+    known = float((np.bincount(word, customers) > 0).sum())
     for sweep in range(BURN_IN + SAMPLES):
-        parents = [np.full(len(words), 1 / (known + 1))]
-        for k in (0, 1):
-            p = levels[k].predict(c[k], t[k], levels[k].totals(c[k], n_shards), levels[k].totals(t[k], n_shards), parents[k])
-            parents.append(p[levels[k + 1].up])
-        for k in (2, 1, 0):
-            if k < 2:
-                c[k] = np.bincount(levels[k + 1].up, t[k + 1], minlength=len(levels[k].at))
-            weight = (THETA + levels[k].d * levels[k].totals(t[k], n_shards)[levels[k].at]) * parents[k]
-            t[k] = seat(c[k], weight, levels[k].d, rng)
+        t = sweep_once(levels, customers, t, own_totals(levels, customers, t), known, np.random.default_rng((seed, sweep)))
         if sweep >= BURN_IN:
-            samples.append(([x.copy() for x in c], [x.copy() for x in t]))
+            samples.append((customers_of(levels, customers, t), [x.copy() for x in t]))
     return {"levels": levels, "samples": samples}
 
 
-def answer_shard(shard: int, asked: list[tuple[int, bytes]], n_shards: int) -> list[tuple[int, bytes]]:
-    """Answers to the chunks, and under chunk -1 the shard's part of the totals."""
-    got = [(chunk, unpack(x)) for chunk, x in asked]
-    hashes = np.unique(np.concatenate([x["hashes"] for _, x in got]))
-    codes = []
-    for _, x in got:
-        word = np.searchsorted(hashes, x["hashes"])
-        codes.append(np.repeat(word, x["pairs"]).astype(np.int64) << 16 | x["endings"])
-    pairs, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-    customers = np.bincount(inverse, np.concatenate([x["customers"] for _, x in got]), minlength=len(pairs))
-    word, ending = pairs >> 16, pairs & 0xFFFF
-    sampled = sample_shard(word, ending, customers, n_shards, shard)
-    levels, samples = sampled["levels"], sampled["samples"]
-    seen = np.bincount(word, customers, minlength=len(hashes)).astype(np.int64)
+STATE, TOTALS = -2, -1  # in place of a chunk
+
+
+def merged_codes(hashes: np.ndarray, got: list[dict]) -> list[np.ndarray]:
+    return [np.repeat(np.searchsorted(hashes, x["hashes"]), x["pairs"]).astype(np.int64) << 16 | x["endings"] for x in got]
+
+
+def state_rows(state: dict, levels: list[Level]) -> list[tuple[int, bytes]]:
+    """A shard's state, and its part of the totals."""
+    customers, t = state["customers"], [x.astype(float) for x in state["t"]]
+    word = np.repeat(np.arange(len(state["hashes"])), state["pairs"])
+    seen = np.bincount(word, customers, minlength=len(state["hashes"]))
     totals = {"tokens": int(customers.sum()), "known": int((seen > 0).sum()), "levels": []}
-    for k, level in enumerate(levels):
-        sums = np.stack([level.totals(x[i][k]) for x in samples for i in (0, 1)])
+    for sums in own_totals(levels, customers, t):
         on = np.flatnonzero(sums.any(0))
         totals["levels"].append((on, sums[:, on]))
-    out = [(-1, pack(totals))]
-    begin = 0
-    for (chunk, x), own in zip(got, codes, strict=True):
-        at = inverse[begin : begin + len(own)]
-        begin += len(own)
+    return [(STATE, pack(state)), (TOTALS, pack(totals))]
+
+
+def levels_of_state(state: dict) -> list[Level]:
+    word = np.repeat(np.arange(len(state["hashes"]), dtype=np.int64), state["pairs"])
+    return levels_of(word, state["endings"].astype(np.int64))
+
+
+def merge_shard(asked: list[bytes]) -> list[tuple[int, bytes]]:
+    got = [unpack(x) for x in asked]
+    hashes = np.unique(np.concatenate([x["hashes"] for x in got]))
+    pairs, inverse = np.unique(np.concatenate(merged_codes(hashes, got)), return_inverse=True)
+    customers = np.bincount(inverse, np.concatenate([x["customers"] for x in got]), minlength=len(pairs)).astype(np.int64)
+    state = {
+        "hashes": hashes, "pairs": np.bincount(pairs >> 16, minlength=len(hashes)).astype(np.uint32),
+        "endings": (pairs & 0xFFFF).astype(np.uint16), "customers": customers, "kept": [],
+    }
+    levels = levels_of_state(state)
+    state["t"] = [x.astype(np.int64) for x in first_tables(levels, customers)]
+    return state_rows(state, levels)
+
+
+def sweep_shard(shard: int, packed: bytes, totals: dict, sweep: int) -> list[tuple[int, bytes]]:
+    state = unpack(packed)
+    levels = levels_of_state(state)
+    t = sweep_once(levels, state["customers"], [x.astype(float) for x in state["t"]], totals["levels"], totals["known"], np.random.default_rng((shard, sweep)))
+    state["t"] = [x.astype(np.int64) for x in t]
+    if sweep >= BURN_IN:
+        state["kept"] = [*state["kept"], state["t"]]
+    return state_rows(state, levels)
+
+
+def answer_shard(packed: bytes, asked: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """Answers to the chunks."""
+    state = unpack(packed)
+    hashes, levels, customers = state["hashes"], levels_of_state(state), state["customers"]
+    word = np.repeat(np.arange(len(hashes), dtype=np.int64), state["pairs"])
+    pairs = word << 16 | state["endings"]
+    seen = np.bincount(word, customers, minlength=len(hashes)).astype(np.int64)
+    samples = [(customers_of(levels, customers, t), t) for t in state["kept"]]
+    out = []
+    for chunk, raw in asked:
+        x = unpack(raw)
+        at = np.searchsorted(pairs, merged_codes(hashes, [x])[0])
         lasts = np.unique(levels[2].up[at])  # in the order of the chunk's own (word, last byte)
         words = np.searchsorted(hashes, x["hashes"])
         answer = {
-            "customers": squeezed(samples[0][0][2][at]), "tables": [squeezed(t[2][at]) for _, t in samples],
+            "customers": squeezed(customers[at]), "tables": [squeezed(t[2][at]) for _, t in samples],
             "lasts": [squeezed(y[1][lasts]) for s in samples for y in s],
             "roots": [squeezed(y[0][words]) for s in samples for y in s], "seen": squeezed(seen[words]),
         }
@@ -346,30 +405,28 @@ def answer_shard(shard: int, asked: list[tuple[int, bytes]], n_shards: int) -> l
     return out
 
 
-def sum_totals(answers: DataFrame) -> dict:
+def sum_totals(states: DataFrame) -> dict:
     """The totals of all shards; added up by Spark, at most 65,793 restaurants come back."""
 
     def step(batch: pa.RecordBatch) -> list:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for x in as_bytes(batch.column(2)):
             own = unpack(x)
-            rows = [(-1, 0, [float(own["tokens"]), float(own["known"])])]
+            rows = [(-1, 0, float(own["tokens"]), float(own["known"]))]
             for k, (on, sums) in enumerate(own["levels"]):
-                rows += [(k, int(u), sums[:, i].tolist()) for i, u in enumerate(on)]
+                rows += [(k, int(u), float(sums[0, i]), float(sums[1, i])) for i, u in enumerate(on)]
             for r in rows:
                 for column, value in zip(out, r, strict=True):
                     column.append(value)
         return out
 
-    rows = map_arrow(answers.where("chunk = -1"), step, "level int, at int, sums array<double>")
-    n = 2 * SAMPLES
-    got = rows.groupBy("level", "at").agg(*(F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(n))).collect()
-    totals = {"tokens": 0, "known": 0, "levels": [np.zeros((n, size)) for size in (1, 256, 65_536)]}
-    for r in got:
+    rows = map_arrow(states.where(F.col("chunk") == TOTALS), step, "level int, at int, c double, t double")
+    totals = {"tokens": 0, "known": 0, "levels": [np.zeros((2, size)) for size in (1, 256, 65_536)]}
+    for r in rows.groupBy("level", "at").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect():
         if r.level < 0:
-            totals["tokens"], totals["known"] = int(r.s0), int(r.s1)
+            totals["tokens"], totals["known"] = int(r.c), int(r.t)
         else:
-            totals["levels"][r.level][:, r.at] = [r[f"s{k}"] for k in range(n)]
+            totals["levels"][r.level][:, r["at"]] = r.c, r.t
     return totals
 
 
@@ -435,18 +492,41 @@ def score(docs: DataFrame, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
         rows = [(c, s, x) for c, p in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), strict=True) for s, x in questions(p, n_shards)]
         return [[r[k] for r in rows] for k in range(3)]
 
+    def rows_of(found: list[tuple[int, bytes]], shard_: int) -> pa.RecordBatch:
+        columns = [pa.array([r[0] for r in found], pa.int64()), pa.array([shard_] * len(found), pa.int32()), pa.array([r[1] for r in found], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=blobs)
+
+    def merge(batches):
+        for run in runs_of(batches, 1):
+            yield rows_of(merge_shard([x for _, _, x in run]), run[0][1])
+
+    def sweeper(sweep: int, totals):
+        def run(batches):
+            for batch in batches:
+                for s, x in zip(batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+                    yield rows_of(sweep_shard(s, x, totals.value, sweep), s)
+
+        return run
+
     def answer(batches):
         for run in runs_of(batches, 1):
-            for to, payload in answer_shard(run[0][1], [(c, x) for c, _, x in run], n_shards):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([to], pa.int64()), pa.array([run[0][1]], pa.int32()), pa.array([payload], pa.binary())], names=blobs
-                )
+            for found in answer_shard(run[0][2], [(c, x) for c, _, x in run[1:]]):
+                yield rows_of([found], run[0][1])
 
+    by_shard = lambda df: df.repartition(n_shards, "shard").sortWithinPartitions("shard", "chunk")
     asked = map_arrow(cut.select(*blobs), ask, BLOB)
-    asked = asked.repartition(n_shards, "shard").sortWithinPartitions("shard", "chunk")
-    answers = table(asked.mapInArrow(answer, BLOB), "lm-answers")
-    totals = spark.sparkContext.broadcast(sum_totals(answers))
-    both = cut.select(*blobs).unionByName(answers.where("chunk >= 0"))
+    states = table(by_shard(asked).mapInArrow(merge, BLOB), "lm-states")
+    after = [sum_totals(states)]
+    for sweep in range(BURN_IN + SAMPLES):
+        before = spark.sparkContext.broadcast(after[-1])
+        states = table(states.where(F.col("chunk") == STATE).mapInArrow(sweeper(sweep, before), BLOB), "lm-states")
+        after.append(sum_totals(states))
+    samples = after[BURN_IN + 1 :]
+    answers = table(by_shard(asked.unionByName(states.where(F.col("chunk") == STATE))).mapInArrow(answer, BLOB), "lm-answers")
+    totals = spark.sparkContext.broadcast(
+        {**after[-1], "levels": [np.concatenate([x["levels"][k] for x in samples]) for k in range(3)]}
+    )
+    both = cut.select(*blobs).unionByName(answers)
     both = both.repartition(max(1, sizes[1]), "chunk").sortWithinPartitions("chunk", "shard")
 
     arrow = arrow_schema(SCHEMA)

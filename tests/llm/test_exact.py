@@ -262,6 +262,17 @@ def test_lm_base_fields(spark, make_docs, odd_rows):
     assert pitmanyor.score(make_docs([])).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_shards(spark, make_docs):
+    """Each second word has an ending that no other word has, so that its restaurant has customers in one shard only."""
+    letters = "abcdefghijklmnopqrstuvwxy"
+    cues = [f"c{i}{letters[i // 25]}{letters[i % 25]}" for i in range(400)]
+    rows = [(k, " ".join(f"{cues[i]} t{i}zz" for i in range(10 * (k % 40), 10 * (k % 40) + 10))) for k in range(80)]
+    scores = lambda shard: {r.doc_id: r.score for r in pitmanyor.score(make_docs(rows), 1000, shard).collect()}
+    one, many = scores(1 << 20), scores(60)
+    off = sum(many.values()) / sum(one.values()) - 1
+    assert abs(off) < 0.02, off
+
+
 def test_preference_pairs(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2"), (1, 3, "assistant", "a2"), (1, 4, "user", "bye"),
             (2, 0, "user", "hi"), (2, 1, "assistant", "only"), (3, 0, "user", "alone"), (None, None, None, None), (4, 0, "user", "<|x|>"),
