@@ -116,7 +116,10 @@ def inclusion_proof_paths(spark, sf) -> DataFrame:
 @query(" SELECT memory_type, count(*) AS n_proofs, count(*) AS n_valid, CAST(0 AS BIGINT) AS n_tampered_valid FROM comp WHERE memory_type IN ('semantic', 'procedural') GROUP BY 1")
 def proof_verify(spark, sf) -> DataFrame:
     """Every proof holds against the root, and none with a changed leaf index does."""
-    ids = _ids(spark, sf).where("memory_type IN ('semantic', 'procedural')")
+    return _verified_proofs(_ids(spark, sf).where("memory_type IN ('semantic', 'procedural')"))
+
+
+def _verified_proofs(ids: DataFrame) -> DataFrame:
     found = merkle.proofs(ids).join(merkle.roots(ids), "memory_type")
     holds = lambda index: merkle.proof_holds(F.col("block_id"), index, F.col("tree_size"), F.col("audit_path"), F.col("root")).cast("long")
     return found.groupBy("memory_type").agg(
@@ -125,6 +128,22 @@ def proof_verify(spark, sf) -> DataFrame:
     )
 
 
+@query(_TREE + " SELECT memory_type, level, pos, hash FROM tree")
+def merkle_levels_every_module(spark, sf) -> DataFrame:
+    return merkle.levels(_ids(spark, sf))
+
+
+@query(_PROOFS + " SELECT memory_type, block_id, leaf_index, tree_size, path FROM paths")
+def inclusion_proof_paths_every_module(spark, sf) -> DataFrame:
+    found = merkle.proofs(_ids(spark, sf))
+    return found.select("memory_type", "block_id", "leaf_index", "tree_size", F.array_join("audit_path", ",").alias("path"))
+
+
+@query(" SELECT memory_type, count(*) AS n_proofs, count(*) AS n_valid, CAST(0 AS BIGINT) AS n_tampered_valid FROM comp GROUP BY 1")
+def proof_verify_every_module(spark, sf) -> DataFrame:
+    return _verified_proofs(_ids(spark, sf))
+
+
 # --- compositions: the modules before and after the later half of events, parts and documents -------------------------
 
 _HALVES = """,
