@@ -27,29 +27,49 @@ ALNUM_TABLE = bytes(
 )
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         jdir = context._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             found = jdir.get()
-        else:
+        elif context.master.startswith("local"):
             found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
             context.setCheckpointDir(found)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return found
 
 
 def table(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
-    This cuts lineage: a lost executor costs a re-read, never a recomputation of what stands above.
+    This cuts lineage: a lost executor costs a re-read, never a recomputation of what stands above.  Shuffle files of the
+    write are of no use after it and are removed.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(scratch: DataFrame) -> None:
+    """Removes a table made by table() that nothing reads any more."""
+    spark = scratch.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch._scratch_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -263,12 +263,12 @@ def test_lm_base_fields(spark, make_docs, odd_rows):
 
 
 def test_lm_scores_do_not_depend_on_shards(spark, make_docs):
-    """Each second word has an ending that no other word has, so that its restaurant has customers in one shard only."""
-    letters = "abcdefghijklmnopqrstuvwxy"
-    cues = [f"c{i}{letters[i // 25]}{letters[i % 25]}" for i in range(400)]
-    rows = [(k, " ".join(f"{cues[i]} t{i}zz" for i in range(10 * (k % 40), 10 * (k % 40) + 10))) for k in range(80)]
-    scores = lambda shard: {r.doc_id: r.score for r in pitmanyor.score(make_docs(rows), 1000, shard).collect()}
-    one, many = scores(1 << 20), scores(60)
+    """One context is frequent enough to be split over shards; the others have customers in one shard only."""
+    rows = [(k, " ".join(f"the t{i} c{i} x{i % 7}" for i in range(10 * (k % 40), 10 * (k % 40) + 10))) for k in range(80)]
+    scores = lambda chunk, shard: {r.doc_id: r.score for r in pitmanyor.score(make_docs(rows), chunk, shard).collect()}
+    one, many = scores(1 << 20, 1 << 20), scores(900, 250)
+    cut = pitmanyor.chunks(make_docs(rows), 900)
+    assert pitmanyor.split_contexts(cut, 3280, 13)  # "the" goes to several
     off = sum(many.values()) / sum(one.values()) - 1
     assert abs(off) < 0.02, off
 
@@ -291,25 +291,105 @@ def test_preference_pairs(spark):
     assert chat.format_pairs(*chat.preference_pairs(table.limit(0))).count() == 0
 
 
-def test_predictive_probabilities_sum_to_one():
+def lm_in_memory(texts, sweeps, burn_in, seed=0):
+    """The sampler's own functions on one shard, without Spark: averaged p of each (context, word) and of unknown words."""
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    word, ending = (x.ravel() for x in np.meshgrid(np.arange(30), np.array([0, 0x6161, 0x6261, 0x6262]), indexing="ij"))
-    customers = rng.poisson(2, len(word))
-    out = pitmanyor.sample_shard(word, ending, customers, 1, 0)
-    levels, (c, t) = out["levels"], out["samples"][-1]
-    known = int((np.bincount(word, customers) > 0).sum())
-    p = np.full(len(c[0]), 1 / (known + 1))
-    for k, level in enumerate(levels):
-        p = p if k == 0 else p[level.up]
-        p = level.predict(c[k], t[k], level.totals(c[k]), level.totals(t[k]), p)
-    for e in np.unique(ending):
-        mass = p[ending == e].sum()
-        silent = 30 - known
-        assert mass < 1 + 1e-9 and mass > 1 - (silent + 1) / (known + 1)
-    for k in range(3):
-        assert ((t[k] <= c[k]) & ((t[k] > 0) == (c[k] > 0))).all()
+    pairs = Counter((a, b) for t in texts for a, b in zip(["<s>", *t], [*t, "</s>"], strict=True))
+    contexts, words = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
+    at, w = (x.ravel() for x in np.meshgrid(np.arange(len(contexts)), np.arange(len(words)), indexing="ij"))
+    c = np.array([pairs[contexts[i], words[j]] for i, j in zip(at, w, strict=True)], float)
+    t, rng, root_d, d = np.minimum(c, 1), np.random.default_rng(seed), *pitmanyor.DISCOUNTS
+    sums = lambda x: np.bincount(at, x)[at]
+    root_c = np.bincount(w, t)
+    root_t, base, mean = np.minimum(root_c, 1), 1 / (len(words) + 1), 0
+    for sweep in range(sweeps):
+        parent = pitmanyor.predict(root_c, root_t, root_c.sum(), root_t.sum(), root_d, base)[w]
+        t = pitmanyor.seat(c, (pitmanyor.THETA + d * sums(t)) * parent, d, rng)
+        root_c = np.bincount(w, t)
+        root_t = pitmanyor.seat(root_c, np.full(len(words), (pitmanyor.THETA + root_d * root_t.sum()) * base), root_d, rng)
+        if sweep >= burn_in:
+            parent = pitmanyor.predict(root_c, root_t, root_c.sum(), root_t.sum(), root_d, base)[w]
+            mean = mean + pitmanyor.predict(c, t, sums(c), sums(t), d, parent) / (sweeps - burn_in)
+    return {(contexts[i], words[j]): p for i, j, p in zip(at, w, mean, strict=True)}
+
+
+def lm_customer_by_customer(texts, sweeps, burn_in):
+    """A plain sampler: every customer leaves and is seated again, tables with their sizes; for a tiny corpus."""
+    import random
+
+    rng, (root_d, d), theta = random.Random(5), pitmanyor.DISCOUNTS, pitmanyor.THETA
+    tokens = [(a, b) for t in texts for a, b in zip(["<s>", *t], [*t, "</s>"], strict=True)]
+    words = sorted({b for _, b in tokens})
+    base = 1 / (len(words) + 1)
+    seats: dict = {}  # restaurant -> word -> sizes of tables; None is the root
+
+    def p_of(u, x):
+        own = seats.setdefault(u, {})
+        dd, up = (root_d, base) if u is None else (d, p_of(None, x))
+        c, t = sum(map(sum, own.values())), sum(map(len, own.values()))
+        mine = own.get(x, [])
+        return (sum(mine) - dd * len(mine) + (theta + dd * t) * up) / (theta + c)
+
+    def add(u, x):
+        own, dd = seats.setdefault(u, {}), root_d if u is None else d
+        mine, t = own.setdefault(x, []), sum(map(len, own.values()))
+        up = base if u is None else p_of(None, x)
+        k = rng.choices(range(len(mine) + 1), [n - dd for n in mine] + [(theta + dd * t) * up])[0]
+        if k < len(mine):
+            mine[k] += 1
+        else:
+            mine.append(1)
+            if u is not None:
+                add(None, x)
+
+    def remove(u, x):
+        mine = seats[u][x]
+        k = rng.choices(range(len(mine)), mine)[0]
+        mine[k] -= 1
+        if not mine[k]:
+            mine.pop(k)
+            if u is not None:
+                remove(None, x)
+
+    for u, x in tokens:
+        add(u, x)
+    mean: Counter = Counter()
+    for sweep in range(sweeps):
+        for u, x in tokens:
+            remove(u, x)
+            add(u, x)
+        if sweep >= burn_in:
+            for u in {a for a, _ in tokens}:
+                for x in words:
+                    mean[u, x] += p_of(u, x) / (sweeps - burn_in)
+    return mean
+
+
+def test_lm_score_against_a_plain_sampler():
+    from math import log10
+
+    texts = [s.split() for s in ("a b a b a c", "a b b a", "c a b a b", "a b", "c c c a b", "b a b a b a b", "d a b")]
+    got, want = lm_in_memory(texts, 3000, 100), lm_customer_by_customer(texts, 1500, 100)
+    score = lambda p, t: sum(log10(p[a, b]) for a, b in zip(["<s>", *t], [*t, "</s>"], strict=True))
+    for t in texts:
+        assert score(got, t) == pytest.approx(score(want, t), rel=0.04)
+    for u in {u for u, _ in got}:
+        assert 0.5 < sum(p for (a, _), p in got.items() if a == u) < 1
+
+
+def test_lm_tells_repeated_documents_apart(spark, make_docs):
+    """Documents that occur twice have a higher probability a token than others of the same kind."""
+    import random
+
+    rng = random.Random(2)
+    words = [f"v{i}" for i in range(3000)]
+    rows = [(k, " ".join(rng.choices(words, k=60))) for k in range(400)]
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 400, 10)]
+    found = {r.doc_id: r.score / r.n_tokens for r in pitmanyor.score(make_docs(rows), 5000, 4000).where("not held_out").collect()}
+    twice = [x for k, x in found.items() if k < 1000 and k % 10 == 0 and 1000 + k in found]
+    once = sorted(x for k, x in found.items() if k < 1000 and k % 10)
+    assert sum(x > once[int(len(once) * 0.9)] for x in twice) >= 0.9 * len(twice)
 
 
 def test_seating_follows_the_exact_posterior():
@@ -317,18 +397,28 @@ def test_seating_follows_the_exact_posterior():
     import numpy as np
 
     c, a, d = 7, 0.8, 0.6
-    stirling = pitmanyor.log_stirling(d)
     s = [[0.0] * (c + 2) for _ in range(c + 1)]
     s[0][0] = 1.0
     for n, k in product(range(c), range(c)):
         s[n + 1][k + 1] = s[n][k] + (n - d * (k + 1)) * s[n][k + 1]
     weight = np.array([a**t * s[c][t] for t in range(1, c + 1)])
-    assert np.exp(stirling[c, 1 : c + 1]) * a ** np.arange(1, c + 1) == pytest.approx(weight)
+    assert np.exp(pitmanyor.log_stirling(d)[c, 1 : c + 1]) * a ** np.arange(1, c + 1) == pytest.approx(weight)
     drawn = pitmanyor.seat(np.full(200_000, c), np.full(200_000, a), d, np.random.default_rng(0))
     share = np.bincount(drawn.astype(int), minlength=c + 1)[1:] / len(drawn)
     assert np.abs(share - weight / weight.sum()).max() < 0.005
-    # seating customers one by one (here all are), weighted, has the same distribution
-    t, log_weight = pitmanyor._draw(np.full(400_000, float(c)), np.full(400_000, a), d, np.random.default_rng(1))
-    w = np.exp(log_weight - log_weight.max())
-    share = np.bincount(t.astype(int), w, minlength=c + 1)[1:] / w.sum()
-    assert np.abs(share - weight / weight.sum()).max() < 0.005
+
+
+@pytest.mark.parametrize("d", [0.65, 0.8])
+@pytest.mark.parametrize(("c", "a"), [(600, 0.01), (600, 1.0), (600, 300.0), (2500, 0.5), (2500, 20.0), (2500, 900.0), (2500, 1e5)])
+def test_seatings_of_many_follow_the_exact_posterior(monkeypatch, c, a, d):
+    import numpy as np
+
+    monkeypatch.setattr(pitmanyor, "TABLE", c)
+    exact = pitmanyor.log_stirling.__wrapped__(d)[c, 1 : c + 1] + np.log(a) * np.arange(1, c + 1)
+    exact = np.exp(exact - exact.max())
+    exact /= exact.sum()
+    t = pitmanyor.likely_tables(c, a, d)
+    weight = pitmanyor.log_weights(c, t, a, d)
+    got = np.zeros(c)
+    got[t - 1] = np.exp(weight - weight.max())
+    assert np.abs(got / got.sum() - exact).sum() / 2 < (0.01 if a < c else 0.05)  # nearly all alone
