@@ -65,10 +65,10 @@ def table(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
     return out
 
 
-def discard(scratch: DataFrame) -> None:
-    """Removes a table made by table() that nothing reads any more."""
+def discard(scratch: DataFrame, part: str | None = None) -> None:
+    """Removes a table made by table(), or the folder of one of its partitions, that nothing reads any more."""
     spark = scratch.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch._scratch_path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch._scratch_path + (f"/{part}" if part else ""))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

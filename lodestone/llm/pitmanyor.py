@@ -38,6 +38,7 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
+from collections.abc import Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -46,13 +47,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_schema, as_bytes, bounded_batches, discard, map_arrow, source, table
+from lodestone.llm.common import arrow_schema, as_bytes, bounded_batches, discard, source, table
 
-CHUNK = 1 << 21
+CHUNK = 3 << 19
 SHARD = 1 << 20
 #: Shards of contexts for each shard of the root.
 ROOT_SHARE = 4
-BURN_IN, SAMPLES = 2, 3
+BURN_IN, SAMPLES = 1, 3
 #: Up to so many customers the Stirling numbers are looked up, beyond that they are computed.
 TABLE = 512
 #: Discounts of the root and of contexts; the concentration is the same for both.
@@ -259,7 +260,9 @@ def open_chunk(packed: bytes) -> dict:
     before = np.empty(len(own["tokens"]), np.int64)
     before[1:] = own["tokens"][:-1]
     before[own["starts"]] = own["start"]
-    own["codes"] = before << 32 | own["tokens"]
+    before <<= 32
+    before |= own["tokens"]
+    own["codes"] = before
     own["learned"] = ~np.repeat(own["held"], own["sizes"])
     return own
 
@@ -359,6 +362,7 @@ def questions(packed: bytes, n_shards: int, split: dict[int, int]) -> list[tuple
 #: place: the shard or root shard (or, for ANSWER, chunk) that a row goes to; sender: who sends it.  The numbers are parts of totals.
 BLOB = "place long, kind int, sender long, payload binary, c double, t double, n long, v long"
 ROWS, ASKED, TABLES, UP, WORDS, DOWN, SEEN, SPLIT, ANSWER, TEXT = range(10)
+SAMPLE = 100
 
 
 def row_of(place: int, kind: int, sender: int, payload: bytes, c: float = 0, t: float = 0, n: int = 0, v: int = 0) -> tuple:
@@ -389,9 +393,10 @@ class Shard:
                 c_all[k], t_all[k] = c, t_
         return c_all[self.at], t_all[self.at]
 
-    def parent(self, down: list[dict], root: dict) -> np.ndarray:
+    def parent(self, down: list[bytes], root: dict) -> np.ndarray:
         """p_root of each word; down: the root's counts, in the order of root shards, which is that of words."""
-        c, t = (np.concatenate([spread(x[k]) for x in down]) if down else np.zeros(0) for k in ("c", "t"))
+        got = [unpack(x) for x in down]
+        c, t = (np.concatenate([spread(x[k]) for x in got]) for k in ("c", "t"))
         return predict(c, t, root["c"], root["t"], DISCOUNTS[0], 1 / (root["v"] + 1))
 
 
@@ -432,7 +437,7 @@ def merge_shard(shard: int, asked: list[tuple[int, bytes]], n_roots: int, split:
     static = {"contexts": contexts, "per": small(per), "words": words, "w": small(pairs & 0xFFFFFFFF), "customers": squeezed(customers)}
     own = Shard(static)
     t = np.minimum(own.c, 1)
-    out = [row_of(shard, ROWS, -1, pack(static)), row_of(shard, TABLES, -1, pack({"t": squeezed(t), "mean": np.zeros(len(t), np.float32)}))]
+    out = [row_of(shard, ROWS, -1, pack(static)), row_of(shard, TABLES, -1, pack({"t": squeezed(t), "kept": []}))]
     for (chunk, _), x, code in zip(asked, got, codes, strict=True):
         answer = {"at": steps(np.searchsorted(pairs, code)), "words": steps(np.searchsorted(words, x["words"]))}
         out.append(row_of(shard, ASKED, chunk, pack(answer)))
@@ -475,33 +480,33 @@ def sweep_root(place: int, packed: bytes, asked: dict[int, bytes], root: dict, s
 
 
 def sweep_shard(shard: int, static: bytes, tables: bytes, down: list[bytes], root: dict, sums: dict, split: dict, sweep: int, n_roots: int) -> list[tuple]:
-    """Adds the last sweep's predictions if it was a sample, and draws the tables anew."""
+    """Draws the tables anew; those of samples are kept."""
     own, old = Shard(unpack(static)), unpack(tables)
-    t = spread(old["t"])
-    c_all, t_all = own.totals(t, sums)
-    parent = own.parent([unpack(x) for x in down], root)[own.w]
-    mean = old["mean"]
-    if sweep > BURN_IN:
-        mean = mean + predict(own.c, t, c_all, t_all, DISCOUNTS[1], parent).astype(np.float32)
-    t = seat(own.c, (THETA + DISCOUNTS[1] * t_all) * parent, DISCOUNTS[1], np.random.default_rng((0, shard, sweep)))
-    out = [row_of(shard, TABLES, -1, pack({"t": squeezed(t), "mean": mean}))]
+    _, t_all = own.totals(spread(old["t"]), sums)
+    t = seat(own.c, (THETA + DISCOUNTS[1] * t_all) * own.parent(down, root)[own.w], DISCOUNTS[1], np.random.default_rng((0, shard, sweep)))
+    new = squeezed(t)
+    out = [row_of(shard, TABLES, -1, pack({"t": new, "kept": [*old["kept"], new] if sweep > BURN_IN else []}))]
     return out + up_rows(shard, own, t, n_roots, False) + split_rows(shard, own, t, split)
 
 
-def answer_shard(shard: int, static: bytes, tables: bytes, down: list[bytes], seen: list[bytes], asked: list[tuple[int, bytes]], root: dict, sums: dict) -> list[tuple]:
+def average_shard(shard: int, static: bytes, tables: bytes, downs: list[list[bytes]], roots: list[dict], sums: list[dict]) -> tuple:
+    """The samples' probabilities of all rows, averaged."""
+    own, kept = Shard(unpack(static)), unpack(tables)["kept"]
+    mean = np.zeros(len(own.c))
+    for packed, down, root, split in zip(kept, downs, roots, sums, strict=True):
+        t = spread(packed)
+        mean += predict(own.c, t, *own.totals(t, split), DISCOUNTS[1], own.parent(down, root)[own.w]) / SAMPLES
+    return row_of(shard, TABLES, -1, pack({"p": np.log10(mean).astype(np.float32)}))
+
+
+def answer_shard(shard: int, averages: bytes, seen: list[bytes], asked: list[tuple[int, bytes]]) -> Iterator[tuple]:
     """To each chunk the averaged probabilities of its pairs, and how often each of its words is learned from."""
-    own, old = Shard(unpack(static)), unpack(tables)
-    t = spread(old["t"])
-    c_all, t_all = own.totals(t, sums)
-    parent = own.parent([unpack(x) for x in down], root)[own.w]
-    mean = (old["mean"] + predict(own.c, t, c_all, t_all, DISCOUNTS[1], parent)) / SAMPLES
+    p = unpack(averages)["p"]
     counts = np.concatenate([spread(unpack(x)["seen"]) for x in seen])
-    out = []
     for chunk, raw in asked:
         x = unpack(raw)
         at, words = (np.cumsum(x[k].astype(np.int64)) for k in ("at", "words"))
-        out.append(row_of(chunk, ANSWER, shard, pack({"p": np.log10(mean[at]).astype(np.float32), "seen": squeezed(counts[words])})))
-    return out
+        yield row_of(chunk, ANSWER, shard, pack({"p": p[at], "seen": squeezed(counts[words])}))
 
 
 def score_chunk(packed: bytes, answers: dict[int, bytes], n_shards: int, split: dict, root: dict) -> list:
@@ -558,7 +563,7 @@ def by_place(parts: list[DataFrame], n: int, fn) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(found, arrow, strict=True)], schema=arrow)
 
     rows = reduce(DataFrame.unionByName, [x.select("place", "kind", "sender", "payload") for x in parts])
-    return rows.repartition(n, "place").sortWithinPartitions("place", "kind", "sender").mapInArrow(run, BLOB)
+    return rows.repartitionById(n, F.col("place").cast("int")).sortWithinPartitions("place", "kind", "sender").mapInArrow(run, BLOB)
 
 
 def score(docs: DataFrame, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
@@ -568,15 +573,22 @@ def score(docs: DataFrame, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     n_roots = max(1, -(-n_shards // ROOT_SHARE))
     split = split_contexts(cut, n_tokens, n_shards)
 
-    def ask(batch: pa.RecordBatch) -> list:
-        rows = [(s, ASKED, c, x) for c, p in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) for s, x in questions(p, n_shards, split)]
-        return [[r[k] for r in rows] for k in range(4)]
+    sent = arrow_schema("place long, kind int, sender long, payload binary")
+
+    def ask(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = questions(batch.column(1)[k].as_py(), n_shards, split)
+                columns = ([s for s, _ in rows], [ASKED] * len(rows), [batch.column(0)[k].as_py()] * len(rows), [x for _, x in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, sent, strict=True)], schema=sent)
 
     of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
-    asked = map_arrow(cut.select("chunk", "payload"), ask, "place long, kind int, sender long, payload binary")
-    merged = table(by_place([asked], n_shards, lambda s, rows: merge_shard(s, of_kind(rows, ASKED), n_roots, split)), "lm-shards")
-    roots = table(by_place([of(merged, UP)], n_roots, lambda r, rows: merge_root(r, of_kind(rows, UP))), "lm-roots")
+    asked = cut.select("chunk", "payload").mapInArrow(ask, "place long, kind int, sender long, payload binary")
+    merged = table(by_place([asked], n_shards, lambda s, rows: merge_shard(s, of_kind(rows, ASKED), n_roots, split)), "lm-shards", ("kind",))
+    roots = table(by_place([of(merged, UP)], n_roots, lambda r, rows: merge_root(r, of_kind(rows, UP))), "lm-roots", ("kind",))
     shards, down, sums, root = merged, roots, split_sums(merged, split), root_totals(roots)
+    discard(merged, f"kind={UP}")
+    samples: list[tuple] = []  # of each the root's answers, its totals, and the sums of split contexts
 
     for sweep in range(1, BURN_IN + SAMPLES + 1):
 
@@ -586,18 +598,33 @@ def score(docs: DataFrame, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
         def sweep_up(r, rows, root=root, sweep=sweep):
             return sweep_root(r, one(rows, WORDS), dict(of_kind(rows, UP)), root, sweep)
 
-        old = [x for x in (shards, down) if x is not merged and x is not roots]
-        shards = table(by_place([of(merged, ROWS), of(shards, TABLES), of(down, DOWN)], n_shards, sweep_one), "lm-tables")
-        down = table(by_place([of(roots, WORDS), of(shards, UP)], n_roots, sweep_up), "lm-counts")
+        old = [shards] if shards is not merged else []
+        old += [down] if down is not roots and all(down is not x[0] for x in samples) else []
+        shards = table(by_place([of(merged, ROWS), of(shards, TABLES), of(down, DOWN)], n_shards, sweep_one), "lm-tables", ("kind",))
+        down = table(by_place([of(roots, WORDS), of(shards, UP)], n_roots, sweep_up), "lm-counts", ("kind",))
         for x in old:
             discard(x)
         sums, root = split_sums(shards, split), root | root_totals(down, ("c", "t"))
-
-    def answer(s, rows, root=root, sums=sums):
-        downs, seen = ([x for _, x in of_kind(rows, k)] for k in (DOWN, SEEN))
-        return answer_shard(s, one(rows, ROWS), one(rows, TABLES), downs, seen, of_kind(rows, ASKED), root, sums)
-
-    answers = by_place([of(merged, ROWS, ASKED), of(shards, TABLES), of(down, DOWN), of(roots, SEEN)], n_shards, answer)
+        if sweep > BURN_IN:
+            samples.append((down, root, sums))
+
+    downs, totals, parts = zip(*samples, strict=True)
+
+    def average(s, rows):
+        found = [[x for _, x in of_kind(rows, SAMPLE + k)] for k in range(SAMPLES)]
+        return [average_shard(s, one(rows, ROWS), one(rows, TABLES), found, totals, parts)]
+
+    def answer(s, rows):
+        return answer_shard(s, one(rows, TABLES), [x for _, x in of_kind(rows, SEEN)], of_kind(rows, ASKED))
+
+    told = [of(x, DOWN).withColumn("kind", F.lit(SAMPLE + k)) for k, x in enumerate(downs)]
+    averages = table(by_place([of(merged, ROWS), of(shards, TABLES), *told], n_shards, average), "lm-averages")
+    for x in (shards, *downs):
+        discard(x)
+    discard(merged, f"kind={ROWS}")
+    answers = table(by_place([of(merged, ASKED), averages, of(roots, SEEN)], n_shards, answer), "lm-answers")
+    for x in (merged, roots, averages):
+        discard(x)
     texts = cut.select(F.col("chunk").alias("place"), F.lit(TEXT).alias("kind"), F.lit(-1).cast("long").alias("sender"), "payload")
     both = answers.select("place", "kind", "sender", "payload").unionByName(texts)
     both = both.repartition(max(1, n_chunks), "place").sortWithinPartitions("place", "kind", "sender")
