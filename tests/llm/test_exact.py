@@ -43,11 +43,11 @@ def brute_contaminated(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 5])
-def test_decontamination(spark, make_docs, odd_rows, block_words):
+@pytest.mark.parametrize("block_chars", [300_000, 60])
+def test_decontamination(spark, make_docs, odd_rows, block_chars):
     rows = [r for r in odd_rows if len(r[1] or "") < 10_000]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    found = decontaminate.scan(make_docs(rows), items, block_words=block_words)
+    found = decontaminate.scan(make_docs(rows), items, block_chars=block_chars)
     assert rows_of(found, "doc_id", "n_words", "n_hit", "n_items", "items") == brute_contaminated(rows, ITEMS)
     texts = dict(rows)
     for r in found.where("n_hit > 0 and doc_id is not null").collect():
@@ -79,6 +79,30 @@ def test_line_dedup(spark, make_docs, odd_rows):
     assert linededup.cut(make_docs([]), linededup.build_runs(make_docs([]))).count() == 0
 
 
+def brute_keep_first(rows, min_docs=10):
+    """Frequent lines stay in the document with the smallest doc_id; rows of equal doc_id and text are alike."""
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    seen: dict = {}
+    for doc, text in rows:
+        for k in {key(x) for x in (text or "").split("\n")}:
+            seen.setdefault(k, []).append(doc)
+    owner = {k: min((d for d in own if d is not None), default=None) for k, own in seen.items() if k and len(own) >= min_docs}
+    out = []
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if key(x) not in owner or (doc is not None and owner[key(x)] == doc)]
+        out.append((doc, "\n".join(kept) if len(kept) < len(lines) else text))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("batches", [1, 4, 7])
+def test_line_dedup_keeps_the_smallest_owner(make_docs, odd_rows, batches):
+    rows = odd_rows + [(k, f"common to many\nown {k}\nCOMMON to many") for k in range(1000, 1060)] + [(None, "common to many")]
+    docs = make_docs(rows).withColumnRenamed("w", "__t1").withColumnRenamed("hits", "__id")
+    kept = linededup.cut(docs, linededup.build_runs(docs, batches=batches), keep_first=True)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == brute_keep_first(rows)
+
+
 def test_line_dedup_keeps_the_first(spark, make_docs, odd_rows):
     docs = make_docs(odd_rows)
     kept = {r.doc_id: r.text for r in linededup.cut(docs, linededup.build_runs(docs), keep_first=True).collect() if r.doc_id}
@@ -121,6 +145,23 @@ def test_bad_hosts_are_rejected_and_small_ones_shrunk(spark):
     assert 0.05 < shrunk["tiny"] < 1 and shrunk["bad"] > 0.5
 
 
+def test_rejected_hosts_agree_with_the_sql(spark):
+    """A few hosts of many fail far more often than the prior leaves likely; all rows against the registered SQL."""
+    import duckdb
+
+    good, bad = " ".join(f"g{i}" for i in range(60)), "too short"
+    rows = [(k, bad if k % 10 < (8 if k % 37 == 5 else 1) else good, f"h{k % 37}") for k in range(3700)] + [(9000, good, None), (9001, None, "one")]
+    found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({quality.SQL})").fetchall()
+    assert rows_of(found, *columns) == sorted(want, key=repr)
+    rejected = {r.doc_id for r in found.where("not base_failed and not kept").collect()}
+    assert rejected == {k for k in range(3700) if k % 37 == 5 and k % 10 >= 8}
+
+
 def brute_fingerprint(text):
     words = BLANK.findall((text or "").translate(LOWER))
     grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
@@ -172,6 +213,8 @@ def test_near_copies_leave_one(spark, make_docs, odd_rows):
     near = [(200 + k, " ".join([*base[:k], "new", *base[k + 1 :]])) for k in range(10, 250, 12)]  # five-word Jaccard 0.93
     half = [(300, " ".join(base[:150] + [f"other{i}" for i in range(150)]))]
     rows = odd_rows + near + half
+    kept = simhash.keep_one_of_each(make_docs(rows).withColumnRenamed("w", "__t1").withColumnRenamed("hits", "cls"))
+    assert kept.columns[-2:] == ["__t1", "cls"]
     kept = simhash.keep_one_of_each(make_docs(rows))
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert kept.columns == make_docs(rows).columns
@@ -226,21 +269,58 @@ def brute_base_labels(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def brute_labels(texts):
+    """The look-up, a file at a time: the file's rarest words of each template, their starts, the phrases at their place."""
+    words = [ALNUM.findall((t or "").translate(LOWER)) for t in texts]
+    index = set(licenses.index_words())
+    df = Counter(w for own in words for w in set(own) & index)
+    out = []
+    for own in words:
+        found, best, own_set = set(), 0, set(own)
+        for name, text, phrases in licenses.TEMPLATES:
+            template = text.split()
+            rare = sorted((w for w in set(template) if len(w) >= 5 and w in own_set), key=lambda w: (df[w], w))[:8]
+            starts: dict = {}
+            for i, w in enumerate(own):
+                if w in rare:
+                    for at, x in enumerate(template):
+                        if x == w:
+                            starts.setdefault(i - at, set()).add(w)
+            best = max([best, *map(len, starts.values())])
+            for start, votes in starts.items():
+                places = [(p.split(), licenses._place(text, p)) for p in phrases]
+                stands = lambda p, at: any(own[j : j + len(p)] == p for j in range(max(0, start + at - 2), start + at + 3))  # noqa: B023, E731
+                if len(votes) >= 3 and all(stands(p, at) for p, at in places):
+                    found.add(name)
+        out.append((found, best))
+    return out
+
+
 def test_license_scan(spark, make_docs, odd_rows):
+    mit = next(text for name, text, _ in licenses.TEMPLATES if name == "mit")
     texts = [
         "Released UNDER the MIT License. under the mit license under the mit license", "Apache-License, version 2", "cc-by-nc 4.0; CC BY NC",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (x)",
-        " ".join(reversed(licenses.TEMPLATES["mit"][0].split())), "This work is licensed under the GNU General Public License, version 3.", "the the mit license",
-        "licence " * 5000 + "under the mit license",
+        " ".join(reversed(mit.split())), "This work is licensed under the GNU General Public License, version 3.", "the the mit license",
+        "licence " * 5000 + "under the mit license", mit.replace("obtaining", "getting").replace("this software", "this work"),
+        "intro words " * 50 + mit.replace("hereby", "hereby also") + " and more", mit.replace("associated documentation files", "files"),
+        " ".join(text for _, text, _ in licenses.TEMPLATES), "software without permission subject to the following conditions copyright notice",
+        *(text for _, text, _ in licenses.TEMPLATES),
     ]
     rows = odd_rows + [(500 + k, t) for k, t in enumerate(texts)]
     found = licenses.label(make_docs(rows))
     got = rows_of(found, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     assert got == sorted(((d, *brute_base_labels(t)) for d, t in rows), key=repr)
+    want = []
+    for (doc, text), (own, best) in zip(rows, brute_labels([t for _, t in rows]), strict=True):
+        labels = sorted(own | (set(brute_base_labels(text)[4].split(",")) - {""}))
+        want.append((doc, ",".join(labels), 1.0 if labels else best / 9))
+    assert rows_of(found, "doc_id", "labels", "score") == sorted(want, key=repr)
     by_id = {r.doc_id: r for r in found.collect()}
-    assert by_id[503].labels == "mit" and by_id[503].base_labels == "" and by_id[503].score == 1
+    assert by_id[503].labels == by_id[508].labels == by_id[509].labels == "mit" and by_id[510].labels == ""
     assert by_id[505].labels == "gpl-3" and by_id[504].labels == "" and 0 < by_id[504].score < 1
-    assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in by_id.values())
+    for k, (name, _, _) in enumerate(licenses.TEMPLATES):
+        assert name in by_id[513 + k].labels.split(",")
     assert licenses.label(make_docs([])).count() == 0
 
 
@@ -276,7 +356,7 @@ def test_lm_scores_do_not_depend_on_shards(spark, make_docs):
 def test_preference_pairs(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2"), (1, 3, "assistant", "a2"), (1, 4, "user", "bye"),
             (2, 0, "user", "hi"), (2, 1, "assistant", "only"), (3, 0, "user", "alone"), (None, None, None, None), (4, 0, "user", "<|x|>"),
-            (4, 0, "user", "<|x|>"), (4, 1, "assistant", None)]
+            (4, 0, "user", "<|x|>"), (4, 1, "assistant", None), (5, 0, "assistant", "same"), (5, 1, "us<|er|>", "x"), (5, 2, "assistant", "same")]
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, pair string")
     got = rows_of(chat.format_pairs(*chat.preference_pairs(table)), "pair", "part", "turn", "rendered", "trained")
     shown = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
@@ -285,9 +365,12 @@ def test_preference_pairs(spark):
         (1, "chosen", 3, shown("assistant", "a2"), True), (1, "rejected", 3, shown("assistant", "a1"), True), (2, "prompt", 0, shown("user", "hi"), False),
         (2, "chosen", 1, shown("assistant", "only"), True), (2, "rejected", 1, shown("assistant", ""), True), (3, "prompt", 0, shown("user", "alone"), False),
         (None, "prompt", chat.LAST, shown("unknown", ""), False), (4, "prompt", 0, shown("user", "< |x|>"), False),
-        (4, "chosen", 1, shown("assistant", ""), True), (4, "rejected", 1, shown("assistant", ""), True),
+        (4, "prompt", 1, shown("assistant", ""), False), (5, "prompt", 0, shown("assistant", "same"), False), (5, "prompt", 1, shown("us< |er| >", "x"), False),
+        (5, "chosen", 2, shown("assistant", "same"), True), (5, "rejected", 2, shown("assistant", ""), True),
     ]
     assert got == sorted(want, key=repr)
+    flags = dict(rows_of(chat.format_pairs(*chat.preference_pairs(table)), "pair", "degenerate"))
+    assert flags == {1: False, 2: False, 3: True, None: True, 4: True, 5: False}
     assert chat.format_pairs(*chat.preference_pairs(table.limit(0))).count() == 0
 
 
