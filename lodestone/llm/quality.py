@@ -2,8 +2,9 @@
 
 Base rules, for each document: too few words, or too many words in repeated three-word windows.  A host's failures
 are aggregated; its failure rate is shrunk with a beta prior fitted to all hosts by the method of moments (empirical
-Bayes), and a host whose shrunk rate is over host_rate is rejected.  Verdicts are joined back: a document is kept if
-it passes the base rules and its host is not rejected.
+Bayes), and a host is rejected if its shrunk rate is over host_rate and also over what that prior leaves likely: its mean
+and `deviations` of its standard deviations.  So a corpus of equally bad hosts loses none of them, and one bad host among
+good ones goes.  Verdicts are joined back: a document is kept if it passes the base rules and its host is not rejected.
 
 Everything about a text is computed inside its row, by array functions: repeated windows are found by sorting the
 windows' 64-bit hashes with their places (two different windows of one text with the same hash have a chance of about
@@ -25,7 +26,8 @@ from lodestone.llm.common import BLANKS, blank_words, source, strip_blanks, tabl
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-HOST_RATE = 0.5
+HOST_RATE = 0.3
+DEVIATIONS = 2.0
 
 
 def text_features(docs: DataFrame, host: Column) -> DataFrame:
@@ -68,7 +70,7 @@ def text_features(docs: DataFrame, host: Column) -> DataFrame:
     )
 
 
-def host_verdicts(features: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
+def host_verdicts(features: DataFrame, host_rate: float = HOST_RATE, deviations: float = DEVIATIONS) -> DataFrame:
     """features with host and base_failed.  Returns host, n_docs, n_failed, shrunk_rate, host_rejected.
 
     A bounded number of rows only if hosts are; nothing here is collected: the prior is one row, joined by a constant.
@@ -86,8 +88,9 @@ def host_verdicts(features: DataFrame, host_rate: float = HOST_RATE) -> DataFram
     strength = F.when(between > 0, F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / between - 1)).otherwise(F.col("n"))
     prior = prior.select("m", F.least(strength, F.col("n").cast("double")).alias("strength"))
     shrunk = (F.col("n_failed") + F.col("m") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
+    likely = F.col("m") + deviations * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("strength") + 1))
     return hosts.crossJoin(F.broadcast(prior)).select(  # one row by construction
-        "host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk > host_rate).alias("host_rejected")
+        "host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), ((shrunk > host_rate) & (shrunk > likely)).alias("host_rejected")
     )
 
 
@@ -127,7 +130,7 @@ h AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE base_failed) AS k FROM
 p AS (SELECT sum(n) AS n, sum(k) / sum(n) AS m, coalesce(var_samp(k / n), 0) AS v, avg(1 / n) AS noise FROM h),
 s AS (SELECT m, least(n, CASE WHEN v - m * (1 - m) * noise > 0
   THEN greatest(1.0, m * (1 - m) / (v - m * (1 - m) * noise) - 1) ELSE n END) AS a FROM p),
-hv AS (SELECT host, (k + m * a) / (n + a) > 0.5 AS bad FROM h, s)
+hv AS (SELECT host, (k + m * a) / (n + a) > 0.3 AND (k + m * a) / (n + a) > m + 2 * sqrt(m * (1 - m) / (a + 1)) AS bad FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM b JOIN hv ON b.host IS NOT DISTINCT FROM hv.host
 """
