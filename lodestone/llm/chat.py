@@ -10,12 +10,16 @@ with a third of all turns is only a hot join key, which Spark splits.
 
 preference_pairs makes pairs of plain conversations: chosen is the conversation up to the assistant's last turn,
 rejected is the same with that turn answered by the assistant's first reply of the same conversation (a stale reply),
-or by an empty reply if there is only one.
+or by an empty reply if there is only one or the first says the same as the last.
+
+The key of a pair is `pair`: its prompt, chosen and rejected are its rows with that part, and `trained` is their mask.  A
+pair whose two sides are the same has no completions; its rows are flagged `degenerate`, to be left out of training.
 
 Defined results: repeated rows are one turn; several different texts with the same (conversation, turn) are one
-message each, in the order of (role, text), of one turn; turns with a null number come last; a null role is rendered
-as unknown, a null text as empty; conversations with a null id are one conversation; one without an assistant's turn
-is all prompt, without completions; an empty table gives an empty result.  Other columns are not looked at.
+message each, in the order of (role, text), of one turn; turns with a null number come last; a null role is unknown, a
+null text is empty, before anything is compared; conversations with a null id are one conversation; one without an
+assistant's turn, or whose only reply is empty, is all prompt and degenerate; marks inside roles and texts are broken up;
+an empty table gives an empty result.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,15 +36,16 @@ END = "<|end|>"
 
 def rendered(role: Column, text: Column) -> Column:
     """<|role|>, a line break, the text, <|end|> and a line break; a mark inside the text is broken up by a space."""
-    safe = F.replace(F.coalesce(text, F.lit("")), F.lit(OPEN), F.lit("< |"))
-    return F.concat(F.lit(OPEN), F.coalesce(role, F.lit("unknown")), F.lit(f"{CLOSE}\n"), safe, F.lit(f"{END}\n"))
+    broken_up = lambda x: F.replace(x, F.lit(OPEN), F.lit("< |"))
+    name = F.replace(broken_up(role), F.lit(CLOSE), F.lit("| >"))
+    return F.concat(F.lit(OPEN), name, F.lit(f"{CLOSE}\n"), broken_up(text), F.lit(f"{END}\n"))
 
 
 def turns(conversations: DataFrame) -> DataFrame:
     """pair, turn, role, text; each once."""
     return conversations.select(
         F.col("conv_id").cast("long").alias("pair"), F.coalesce(F.col("turn").cast("long"), F.lit(LAST)).alias("turn"),
-        F.col("role"), F.col("text"),
+        F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     ).distinct()
 
 
@@ -50,18 +55,23 @@ def preference_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = F.col("role") == "assistant"
     key = F.struct("turn", "text")
     ends = own.where(said).groupBy(F.col("pair").alias("p")).agg(
-        F.max("turn").alias("last"), F.min(key).alias("first")
-    ).select("p", "last", F.when(F.col("first.turn") < F.col("last"), F.col("first.text")).otherwise(F.lit("")).alias("stale"))
+        F.max(key).alias("last"), F.min(key).alias("first")
+    )
+    other = (F.col("first.turn") < F.col("last.turn")) & (F.col("first.text") != F.col("last.text"))
+    ends = ends.select("p", F.col("last.turn").alias("last"), F.when(other, F.col("first.text")).otherwise(F.lit("")).alias("stale"))
     joined = own.join(ends, F.col("pair").eqNullSafe(F.col("p")), "left")
     chosen = joined.where(F.col("last").isNull() | (F.col("turn") <= F.col("last")))
     at_end = (F.col("turn") == F.col("last")) & said
-    replaced = F.when(at_end.eqNullSafe(True), F.coalesce("stale", F.lit(""))).otherwise(F.col("text"))
+    replaced = F.when(at_end.eqNullSafe(True), F.col("stale")).otherwise(F.col("text"))
     rejected = chosen.select("pair", "turn", "role", replaced.alias("text")).distinct()
     return chosen.select("pair", "turn", "role", "text"), rejected
 
 
 def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """pair, part (prompt, chosen, rejected), turn, role, rendered, trained: a row for each rendered message."""
+    """pair, part (prompt, chosen, rejected), turn, role, rendered, trained, degenerate: a row for each rendered message.
+
+    chosen and rejected: (pair, turn, role, text) without nulls in role and text, each row once.
+    """
     side = lambda df, name: df.select("pair", "turn", "role", "text", F.lit(name).alias("side"))
     both = side(chosen, "chosen").unionByName(side(rejected, "rejected"))
     # A turn is common if all its messages are on both sides; messages are compared by their own hash, not gathered.
@@ -74,7 +84,7 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return shown.select(
         "pair", F.when(in_prompt, F.lit("prompt")).otherwise(F.col("side")).alias("part"), "turn", "role",
         rendered(F.col("role"), F.col("text")).alias("rendered"),
-        (~in_prompt & (F.col("role") == "assistant")).eqNullSafe(True).alias("trained"),
+        (~in_prompt & (F.col("role") == "assistant")).alias("trained"), F.col("differs").isNull().alias("degenerate"),
     )
 
 
@@ -84,11 +94,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, 9223372036854775807) AS turn, role, text FROM conversations),
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, 'unknown') AS role,
+  coalesce(text, '') AS text FROM conversations),
 e AS (SELECT conv_id, max(turn) AS last, min(turn) AS first FROM t WHERE role = 'assistant' GROUP BY conv_id),
-s AS (SELECT e.conv_id, last, CASE WHEN first < last THEN coalesce(min(t.text), '') ELSE '' END AS stale
-  FROM e JOIN t ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.turn = e.first AND t.role = 'assistant'
-  GROUP BY e.conv_id, last, first),
+r AS (SELECT e.conv_id, last, first, min(t.text) FILTER (WHERE t.turn = first) AS said, max(t.text) FILTER (WHERE t.turn = last) AS says
+  FROM e JOIN t ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.role = 'assistant' GROUP BY e.conv_id, last, first),
+s AS (SELECT conv_id, last, CASE WHEN first < last AND said <> says THEN said ELSE '' END AS stale FROM r),
 c AS (SELECT t.*, last, stale FROM t LEFT JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
   WHERE last IS NULL OR turn <= last),
 b AS (SELECT conv_id, turn, role, text, 'chosen' AS side FROM c
@@ -96,9 +107,9 @@ b AS (SELECT conv_id, turn, role, text, 'chosen' AS side FROM c
     CASE WHEN turn = last AND role = 'assistant' THEN stale ELSE text END, 'rejected' FROM c),
 m AS (SELECT conv_id, turn, role, text, count(DISTINCT side) AS n FROM b GROUP BY ALL),
 d AS (SELECT conv_id, min(turn) FILTER (WHERE n < 2) AS differs FROM m GROUP BY conv_id),
-p AS (SELECT b.*, differs IS NULL OR turn < differs AS shared FROM b JOIN d ON b.conv_id IS NOT DISTINCT FROM d.conv_id)
+p AS (SELECT b.*, differs, differs IS NULL OR turn < differs AS shared FROM b JOIN d ON b.conv_id IS NOT DISTINCT FROM d.conv_id)
 SELECT conv_id, CASE WHEN shared THEN 'prompt' ELSE side END AS part, turn, role,
-  '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS rendered,
-  NOT shared AND coalesce(role = 'assistant', false) AS trained
+  '<|' || replace(replace(role, '<|', '< |'), '|>', '| >') || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS rendered,
+  NOT shared AND role = 'assistant' AS trained, differs IS NULL AS degenerate
 FROM p WHERE NOT shared OR side = 'chosen'
 """
