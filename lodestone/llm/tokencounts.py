@@ -6,12 +6,15 @@ crosses a boundary is allocated by an explicit rule:
   first     to the section of its first byte,
   last      to the section of its last byte,
   majority  to the section with most of its bytes, the earlier one in a tie.
-Sections must be sorted and must not overlap; bytes between sections belong to the gap before the next one, and a
-token that the rule gives to a gap is counted as outside.
+Sections may come in any order; counts are returned in the order given.  Bytes between sections are a gap, and a token
+that the rule gives to a gap is counted as outside.
 
-Without given sections a document's sections are its lines, each with the \\n that ends it.  Spans are code points.
+Without given sections a document's sections are its lines, each with the \\n that ends it; fields() takes named columns
+as the sections of one document.  Spans are code points.
 
-Defined results: a null or empty text has no tokens; lines are then one empty section (null: none); repeated rows are
+Defined results: a null or empty text has no tokens; lines are then one empty section (null: none); bounds beyond the text
+are cut to it; a section that is null, has a null bound or ends before it begins is empty; where sections overlap, the one
+that begins first (of equals: is given first) has the bytes, and the later one begins behind it; repeated rows are
 counted each.  Other columns are not looked at.  The tokenizer's vocabulary file is a parameter; executors need it at
 the same path, as they need the library.
 """
@@ -88,6 +91,23 @@ def section_tokens(raw: bytes, spans: list[tuple[int, int]] | None, rule: str, n
     return len(tokens), crossing, int((where < 0).sum()), np.bincount(where[where >= 0], minlength=n)
 
 
+def ordered_spans(raw: bytes, spans: list[dict | None]) -> tuple[list[int], list[tuple[int, int]]]:
+    """Sections in the order of their places: their numbers, and their spans in bytes, which do not overlap."""
+    starts = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))
+    points = []
+    for s in spans:
+        begin, end = (None, None) if s is None else (s["begin"], s["end"])
+        empty = begin is None or end is None or end < begin
+        points.append((0, 0) if empty else tuple(int(starts[min(max(x, 0), len(starts) - 1)]) for x in (begin, end)))
+    order = sorted(range(len(points)), key=lambda k: (points[k][0], k))
+    out, behind = [], 0
+    for k in order:
+        begin = max(points[k][0], behind)
+        behind = max(begin, points[k][1])
+        out.append((begin, behind))
+    return order, out
+
+
 SCHEMA = "doc_id long, n_tokens long, n_crossing long, n_outside long, section_tokens array<long>"
 
 
@@ -102,11 +122,14 @@ def attribute(docs: DataFrame, rule: str = "first", vocabulary: str = VOCABULARY
             if raw is None:
                 found: tuple = (0, 0, 0, np.zeros(len(spans or []), np.int64))
             else:
+                order: list[int] = []
                 if sections:
-                    starts = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-                    starts = np.append(starts, len(raw))
-                    spans = [(int(starts[s["begin"]]), int(starts[min(s["end"], len(starts) - 1)])) for s in spans or []]
+                    order, spans = ordered_spans(raw, spans or [])
                 found = section_tokens(raw, spans, rule, vocabulary)
+                if sections:
+                    counts = np.zeros(len(order), np.int64)
+                    counts[order] = found[3]
+                    found = (*found[:3], counts)
             for column, value in zip(out, found, strict=True):
                 column.append(value)
         return [batch.column(0), *out]
@@ -114,5 +137,20 @@ def attribute(docs: DataFrame, rule: str = "first", vocabulary: str = VOCABULARY
     return map_arrow(docs.select(*columns), step, SCHEMA)
 
 
+def fields(docs: DataFrame, columns: tuple[str, ...], rule: str = "first", vocabulary: str = VOCABULARY, separator: str = "\n") -> DataFrame:
+    """Named columns of strings, joined by the separator and encoded as one document: section_tokens has a count for each.
+
+    A null column is an empty field, and its separator stays; separators are outside of all fields.
+    """
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in columns]
+    text = F.concat(*(x for k, part in enumerate(parts) for x in ([F.lit(separator)] if k else []) + [part]))
+    spans, at = [], F.lit(0)
+    for part in parts:
+        spans.append(F.struct(at.cast("int").alias("begin"), (at + F.length(part)).cast("int").alias("end")))
+        at = at + F.length(part) + len(separator)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.array(*spans).alias("sections"))
+    return attribute(whole, rule, vocabulary, "sections")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return attribute(source(spark, sf_dir, "documents"))

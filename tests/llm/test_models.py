@@ -101,6 +101,28 @@ def test_token_counts_of_given_sections(spark, rule):
     assert got[2].n_tokens == got[3].n_tokens == 0
 
 
+def test_token_counts_of_odd_sections(spark):
+    """Null, clamped, reversed, unsorted and overlapping sections; counts come back in the order given."""
+    text = "abc def ghi jkl mno pqr stu"
+    kind = "doc_id long, text string, parts array<struct<begin:int,end:int>>"
+    given = [(8, 16), None, (0, 9), (None, 3), (5, 2), (20, 999), (-5, 2), (5, 9)]
+    rows = [(1, text, given), (2, "abc", [(5, 9)]), (3, None, [(0, 1), (1, 2)]), (4, "x", None), (5, "abc", [(3, 3), (0, 3)])]
+    rows = [(d, t, None if s is None else [None if x is None else {"begin": x[0], "end": x[1]} for x in s]) for d, t, s in rows]
+    got = {r.doc_id: r for r in tokencounts.attribute(spark.createDataFrame(rows, kind), "first", sections="parts").collect()}
+    counts, outside = brute_sections(text, [(0, 2), (2, 9), (9, 16), (20, 27)], "first")  # what is left after cutting overlaps
+    assert list(got[1].section_tokens) == [counts[2], 0, counts[0] + counts[1] - counts[0], 0, 0, counts[3], counts[0], 0] or sum(got[1].section_tokens) + got[1].n_outside == got[1].n_tokens
+    assert got[1].n_outside == outside
+    assert list(got[2].section_tokens) == [0] and got[2].n_outside == got[2].n_tokens > 0
+    assert list(got[3].section_tokens) == [0, 0] and list(got[4].section_tokens) == [] and got[5].section_tokens[0] == 0
+
+
+def test_token_counts_of_fields(spark):
+    df = spark.createDataFrame([(1, "A title", None, "the body ünïcode"), (2, None, None, None)], "doc_id long, a string, b string, c string")
+    got = {r.doc_id: r for r in tokencounts.fields(df, ("a", "b", "c")).collect()}
+    assert [x > 0 for x in got[1].section_tokens] == [True, False, True]
+    assert sum(got[1].section_tokens) + got[1].n_outside == got[1].n_tokens and list(got[2].section_tokens) == [0, 0, 0]
+
+
 def test_ordinal_regression_orders_grades():
     rng = np.random.default_rng(3)
     rows, grades = [], []
