@@ -6,9 +6,10 @@ scanned once, and hits are mapped back to offsets of the original text.
 Normalisation lower-cases A-Z and takes the words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+.  It works on UTF-8 bytes,
 one byte to one byte, so a word's place in the normalised bytes is its place in the original ones.
 
-The automaton is the only thing that is broadcast, and its size is checked: a block of the benchmark has at most
-BLOCK_WORDS words (items are dealt to blocks by a hash of their text).  A larger benchmark is scanned block after
-block, each adding its hits to those found so far.
+The automaton is the only thing that is broadcast, and its size is checked: the benchmark is dealt to blocks of about
+BLOCK_CHARS characters by a hash of the items' texts, and as a window has `width` words, an automaton has at most some
+`width` nodes a character, 3 million of about 40 bytes.  A larger benchmark is scanned block after block, each collected
+when its turn comes and adding its hits to those found so far.
 
 Defined results: a null or empty text has no words and no hits; an item with a null or wordless text has no window;
 an item with a null id marks words as hit but is not counted among the items; repeated items count once; a table
@@ -17,6 +18,7 @@ without items marks nothing.  Other columns of either table are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import ALNUM_TABLE, as_bytes, bounded_batches, map_arrow, table
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_CHARS = 300_000
 _built: dict[int, tuple] = {}
 
 
@@ -91,31 +93,32 @@ def original_spans(raw: bytes, spans: list[list[int]]) -> list[dict]:
     return [{"begin": int(points[edges[2 * a]]), "end": int(points[edges[2 * b - 1]])} for a, b in spans]
 
 
-def benchmark_blocks(benchmark: DataFrame, width: int, block_words: int) -> list[dict]:
-    """The windows of each block, none of which has more than about block_words words."""
+def benchmark_blocks(benchmark: DataFrame, width: int, block_chars: int) -> tuple[int, Callable[[int], dict]]:
+    """How many blocks there are, and the windows of the k-th, which are collected only then."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // (2 * block_words)))  # a word and its separator have two characters at least
-    blocks = []
-    for k in range(n):
+    n = max(1, -(-total // block_chars))
+
+    def windows(k: int) -> dict:
         own = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        blocks.append(item_windows([(r.item, r.text.encode()) for r in own.collect() if r.text], width))
-    return blocks
+        return item_windows([(r.item, r.text.encode()) for r in own.collect() if r.text], width)
+
+    return n, windows
 
 
 SCHEMA = "doc_id long, text string, n_words long, hits array<int>, items array<string>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted as strings), spans (begin and end in the original text)."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"),
     )
-    blocks = benchmark_blocks(benchmark, width, block_words)
-    for k, windows in enumerate(blocks):
-        shared, last = spark.sparkContext.broadcast(windows), k == len(blocks) - 1
+    n, windows = benchmark_blocks(benchmark, width, block_chars)
+    for k in range(n):
+        shared, last = spark.sparkContext.broadcast(windows(k)), k == n - 1
 
         def step(batch: pa.RecordBatch, shared=shared, last=last) -> list:
             auto, out = automaton(shared), [[] for _ in range(7 if last else 5)]
@@ -167,8 +170,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
     spark = docs.sparkSession
     bounded_batches(spark)
     at = docs.columns.index("text")
-    for windows in benchmark_blocks(benchmark, width, BLOCK_WORDS):
-        shared = spark.sparkContext.broadcast(windows)
+    n, windows = benchmark_blocks(benchmark, width, BLOCK_CHARS)
+    for k in range(n):
+        shared = spark.sparkContext.broadcast(windows(k))
 
         def step(batches, shared=shared):
             auto = automaton(shared)
@@ -180,6 +184,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(step, docs.schema)
+        docs = docs if k == n - 1 else table(docs, "decontaminated")
     return docs
 
 
