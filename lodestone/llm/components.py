@@ -1,7 +1,8 @@
 """Connected components of links, by alternating large-star and small-star rounds.
 
 Every round is joins and pre-aggregated minima over tables in the shared folder: no node's neighbours are ever
-collected, and nothing but two numbers a round (a count and a checksum) comes to the driver.
+collected, and nothing but three numbers a round (a count and the exact sums of two 64-bit hashes of the edges) comes to
+the driver: an edge set that did not change ends the rounds.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     )
     before = None
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        wide = lambda h: F.sum(h.cast("decimal(20,0)"))
+        now = edges.agg(F.count(F.lit(1)), wide(F.xxhash64("u", "v")), wide(F.xxhash64("v", "u", F.lit(1)))).first()
         if now[0] == 0 or tuple(now) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = tuple(now)

@@ -97,10 +97,13 @@ class LineRuns:
         return every.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.min("owner").alias("owner"))
 
     def absorb(self, batch: DataFrame) -> None:
-        """batch: (h1, h2, n, owner), a row for each line.  Known frequent lines are dropped, the others are a new run."""
+        """batch: (h1, h2, n, owner), a row for each line.  Known frequent lines are dropped, but for those that the batch
+        has in a document with a smaller doc_id; the others are a new run."""
         if held := self.runs():
-            known = self._merge(held).where(F.col("n") >= self.min_docs).select(*_KEY)
-            batch = batch.join(known, _KEY, "left_anti")
+            known = self._merge(held).where(F.col("n") >= self.min_docs).select(*_KEY, F.col("owner").alias("first"))
+            known_as = F.coalesce(F.col("owner") >= F.col("first"), F.col("owner").isNull())
+            batch = batch.join(known.withColumn("known", F.lit(True)), _KEY, "left")
+            batch = batch.where(F.col("known").isNull() | ~known_as).select(*_KEY, "n", "owner")
         self.levels[0].append(self._write(batch, 0))
         for k, level in enumerate(self.levels):
             if len(level) >= self.fanout:
@@ -136,13 +139,16 @@ def cut(docs: DataFrame, runs: LineRuns, min_chars: int = MIN_CHARS, keep_first:
         hits = hits.where(~F.col("doc_id").eqNullSafe(F.col("owner")))
     drops = hits.groupBy("doc_id", "__t1", "__t2").agg(F.collect_set(F.struct(*_KEY)).alias("__drops"))
     drops = drops.select(F.col("doc_id").alias("__id"), F.col("__t1").alias("__u1"), F.col("__t2").alias("__u2"), "__drops")
+    # the columns travel under numbers, so that none of their names can clash with those of the join
     names = docs.columns
-    keyed = docs.select("*", *text_key(F.col("text")))
+    keyed = docs.select(
+        *(F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(names)), F.col("doc_id").alias("__doc"), *text_key(F.col("text"))
+    )
     joined = keyed.join(
         drops,
-        (F.col("__t1") == F.col("__u1")) & (F.col("__t2") == F.col("__u2")) & keyed["doc_id"].eqNullSafe(drops["__id"]),
+        (F.col("__t1") == F.col("__u1")) & (F.col("__t2") == F.col("__u2")) & F.col("__doc").eqNullSafe(F.col("__id")),
         "left",
-    ).select(*(keyed[c] for c in names), "__drops")
+    ).select(*(f"__c{k}" for k in range(len(names))), "__drops")
     at = names.index("text")
     out = StructType([*docs.schema.fields]).add("__n_lines", LongType()).add("__n_dropped", LongType())
     schema = to_arrow_schema(out)

@@ -421,13 +421,15 @@ def keep_one_of_each(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: f
     groups = fps.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "__t1", "__t2")).alias("first"))
     stays = table(first.select(F.col("first.doc_id").alias("__id"), F.col("first.__t1").alias("__u1"), F.col("first.__t2").alias("__u2")), "stays")
-    own = docs.select("*", *text_key(F.col("text")))
+    # the columns travel under numbers, so that none of their names can clash with those of the join
+    names = docs.columns
+    own = docs.select(
+        *(F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(names)), F.col("doc_id").cast("long").alias("__doc"), *text_key(F.col("text"))
+    )
     kept = own.join(
-        stays,
-        (F.col("__t1") == F.col("__u1")) & (F.col("__t2") == F.col("__u2")) & own["doc_id"].eqNullSafe(stays["__id"]),
-        "left_semi",
+        stays, (F.col("__t1") == F.col("__u1")) & (F.col("__t2") == F.col("__u2")) & F.col("__doc").eqNullSafe(F.col("__id")), "left_semi"
     )
     repeated = fps.groupBy("doc_id", "__t1", "__t2").count().where("count > 1")
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__t1", "__t2"])
-    return kept.drop("__t1", "__t2")
+        kept = kept.dropDuplicates(["__doc", "__t1", "__t2"])
+    return kept.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(names)))
