@@ -20,7 +20,8 @@ meet.  Between classes:
 Groups across buckets: see components.
 
 Near copies of the pipeline (keep_one_of_each) are linked by exact Jaccard similarity.  There long fingerprints only
-propose pairs; a prefix filter proposes all others that can be similar, and every proposal is verified.
+propose pairs; a prefix filter proposes all others that can be similar.  Proposals that cannot reach the similarity by
+counts of their shingles in ranges of hashes are discarded, and all others are verified on whole sets.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows get the same
 result each; component_id is the smallest doc_id that is not null, or null if there is none; other columns are not
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_bytes, map_arrow, source, table, text_key
+from lodestone.llm.common import as_bytes, discard, map_arrow, source, table, text_key
 from lodestone.llm.components import components
 
 SEED = 42
@@ -311,12 +312,12 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 
 
 def shingle_sets(docs: DataFrame, shingle: int, similarity: float, words: int) -> DataFrame:
-    """doc_id, __t1, __t2, cls (a hash of the set of shingles), n (its size), fp, prefix."""
+    """doc_id, __t1, __t2, cls (a hash of the set of shingles), n (its size), fp, counts (see counts_of), prefix."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
 
     def step(batch: pa.RecordBatch) -> list:
         keys, often = frequent.value
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for raw in as_bytes(batch.column(3)):
             own = np.unique(shingle_hashes(raw, shingle))
             rank = np.zeros(len(own), np.int64)
@@ -325,19 +326,42 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float, words: int) -
                 rank = np.where(keys[at] == own, often[at], 0)
             first = own[np.lexsort((own, rank))[: prefix_length(len(own), similarity)]]
             cls = signed(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-            for column, value in zip(out, (cls, len(own), bits_of(own, words), first.view(np.int64)), strict=True):
+            for column, value in zip(out, (cls, len(own), bits_of(own, words), counts_of(own), first.view(np.int64)), strict=True):
                 column.append(value)
         return [*batch.columns[:-1], *out]
 
     return map_arrow(
         docs.select("doc_id", "__t1", "__t2", "text"), step,
-        "doc_id long, __t1 long, __t2 long, cls long, n int, fp binary, prefix array<long>",
+        "doc_id long, __t1 long, __t2 long, cls long, n int, fp binary, counts binary, prefix array<long>",
     )
 
 
+PARTS = 256
+
+
+def counts_of(hashes: np.ndarray) -> bytes:
+    """How many hashes of a set are in each of PARTS ranges; the smaller counts of two sets add up to no less than they share."""
+    return np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=PARTS).astype("<u4").tobytes()
+
+
+def may_reach(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b), those whose counts allow that similarity; none that has it is lost."""
+    side = lambda k, x: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(x))
+    joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+
+    def step(batch: pa.RecordBatch) -> list | None:
+        x, y = (np.frombuffer(b"".join(as_bytes(batch.column(k))), "<u4").reshape(-1, PARTS) for k in (4, 5))
+        both = np.minimum(x, y).sum(1, dtype=np.int64)
+        sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+        keep = pa.array(both >= similarity * (sizes - both) - 1e-9, pa.bool_())
+        return [c.filter(keep) for c in batch.columns[:2]]
+
+    return map_arrow(joined.select("a", "b", "n_a", "n_b", "x", "y"), step, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Of the pairs (a, b) of classes, a < b, those with that exact Jaccard similarity of their sets of shingles."""
-    pairs = table(pairs.select("a", "b").distinct(), "near-pairs")
+    pairs = table(may_reach(pairs.select("a", "b").distinct(), classes, similarity), "near-pairs")
     need = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     need = need.join(classes, "cls").select("cls", "text_of.*")
     texts = docs.select("text", "__t1", "__t2").join(need, ["__t1", "__t2"]).groupBy("cls").agg(F.first("text").alias("text"))
@@ -357,7 +381,10 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
     own = table(map_arrow(texts, sets, "cls long, own binary"), "near-sets")
     joined = pairs.join(own.select(F.col("cls").alias("a"), F.col("own").alias("x")), "a")
     joined = joined.join(own.select(F.col("cls").alias("b"), F.col("own").alias("y")), "b")
-    return table(map_arrow(joined.select("a", "b", "x", "y"), check, "a long, b long"), "near-links")
+    links = table(map_arrow(joined.select("a", "b", "x", "y"), check, "a long, b long"), "near-links")
+    discard(pairs)
+    discard(own)
+    return links
 
 
 def similar_groups(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float, words: int) -> DataFrame:
@@ -368,7 +395,7 @@ def similar_groups(docs: DataFrame, sets: DataFrame, shingle: int, similarity: f
     bucket of the prefix filter, then all pairs of these buckets.
     """
     classes = table(
-        sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(F.struct("__t1", "__t2")).alias("text_of")),
+        sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("counts").alias("counts"), F.min(F.struct("__t1", "__t2")).alias("text_of")),
         "near-classes",
     )
     ordered = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
