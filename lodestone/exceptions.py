@@ -55,3 +55,7 @@ class ReconciliationHalted(ReconciliationError):
 
 class ResolutionRefused(ReconciliationError):
     pass
+
+
+class LayoutError(LodestoneError):
+    """A tree layout that is not known here."""

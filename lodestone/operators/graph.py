@@ -12,11 +12,12 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     """edges (src, dst), seeds (origin, node).  Returns (origin, node, depth): what is reachable from each origin's
     seeds, without the origin itself and without the seeds; depth is the number of the first round that found it.
 
-    Only the frontier is joined, and every round's finds are checkpointed; cycles end where nothing new is found.
+    Only the frontier is joined; every round's finds are written once, and what was seen is the union of these tables.
+    Cycles end where nothing new is found.
     """
     edges = checkpointed(edges.select("src", "dst").distinct())
-    seen = checkpointed(seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
+    frontier, depth = checkpointed(seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0))), 0
+    seen = frontier
     while max_depth is None or depth < max_depth:
         depth += 1
         found = frontier.join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
@@ -24,7 +25,7 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
         frontier = checkpointed(found.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
 

@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.exceptions import LayoutError
 from lodestone.functions.identity import EMPTY_ROOT, hex_of
 from lodestone.operators.ordering import ranked
 from lodestone.plans.scratch import checkpointed
 
 BLOCK = 10
 LAYOUT = "rfc6962-sorted/1"
+#: Layouts by name, each a function of (ids, group) to roots; more may be registered.
+LAYOUTS: dict = {}
 
 
 def hash_leaf(hex_digest: Column) -> Column:
@@ -82,22 +85,38 @@ def levels(ids: DataFrame, group: str = "memory_type") -> DataFrame:
     return every.drop("size")
 
 
-def proofs(ids: DataFrame, group: str = "memory_type") -> DataFrame:
-    """(group, block_id, leaf_index, tree_size, audit_path): siblings from the leaf up; levels without a sibling are skipped.
+def _with_paths(nodes: DataFrame, group: str, largest: int) -> DataFrame:
+    """nodes (group, pos, hash) with path, the siblings from the node up.
 
-    A path has as many hashes as the tree is deep at most, so collecting it is bounded.
+    2^BLOCK neighbours are one row: it has the levels of their subtree, so every member's siblings inside it; the
+    subtrees' own nodes are the next round's nodes.  A level without a sibling is skipped.
     """
-    placed = leaves(ids, group).select(group, "block_id", F.col("pos").alias("leaf_index"))
-    nodes = levels(ids, group)
-    sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("tree_size"))
-    wanted = placed.join(sizes, group).withColumn(
-        "level", F.explode(F.sequence(F.lit(0), F.ceil(F.log2("tree_size")).cast("int")))
+    up = F.shiftright("pos", BLOCK)
+    blocks = nodes.groupBy(group, up.alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("own"))
+    blocks = blocks.withColumn("h0", F.transform("own", lambda x: x["hash"]))
+    for level in range(BLOCK):
+        blocks = blocks.withColumn(f"h{level + 1}", _fold(F.col(f"h{level}")))
+    whole = largest > 1 << BLOCK
+    blocks = checkpointed(blocks) if whole else blocks
+    sibling = [F.get(f"h{k}", F.shiftright("i", k).bitwiseXOR(F.lit(1))) for k in range(BLOCK)]
+    members = blocks.select("*", F.posexplode("own").alias("i", "member")).select(
+        group, "block", F.col("member.pos").alias("pos"), F.col("member.hash").alias("hash"), F.array_compact(F.array(*sibling)).alias("path")
     )
-    sibling = F.expr("shiftright(leaf_index, level) ^ 1L")
-    wanted = wanted.withColumn("pos", sibling)
-    path = F.transform(F.array_sort(F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("level", "hash")))), lambda x: x["hash"])
-    return wanted.join(nodes, [group, "level", "pos"], "left").groupBy(group, "block_id", "leaf_index", "tree_size").agg(
-        path.alias("audit_path")
+    if not whole:
+        return members.drop("block")
+    above = blocks.select(group, F.col("block").alias("pos"), F.get(f"h{BLOCK}", F.lit(0)).alias("hash"))
+    above = _with_paths(above, group, -(-largest >> BLOCK)).select(group, F.col("pos").alias("block"), F.col("path").alias("rest"))
+    return members.join(above, [group, "block"]).select(group, "pos", "hash", F.concat("path", "rest").alias("path"))
+
+
+def proofs(ids: DataFrame, group: str = "memory_type") -> DataFrame:
+    """(group, block_id, leaf_index, tree_size, audit_path): siblings from the leaf up; levels without a sibling are skipped."""
+    placed = checkpointed(leaves(ids, group))
+    sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("tree_size"))
+    largest = sizes.agg(F.max("tree_size")).first()[0] or 0
+    paths = _with_paths(placed.select(group, "pos", "hash"), group, largest)
+    return placed.join(paths.select(group, "pos", "path"), [group, "pos"]).join(sizes, group).select(
+        group, "block_id", F.col("pos").alias("leaf_index"), "tree_size", F.col("path").alias("audit_path")
     )
 
 
@@ -124,6 +143,24 @@ def proof_holds(block: Column, leaf_index: Column, tree_size: Column, path: Colu
     return F.coalesce(holds, F.lit(False))
 
 
+def transfer_size(changes: DataFrame, group: str = "memory_type") -> DataFrame:
+    """changes: of diff.  (group, transfer_size, is_empty): how many blocks a reader of the old version must fetch, and whether nothing changed."""
+    moved = F.sum((F.col("change") != "unchanged").cast("long"))
+    return changes.groupBy(group).agg(F.sum((F.col("change") == "added").cast("long")).alias("transfer_size"), (moved == 0).alias("is_empty"))
+
+
+def verify_leaves(ids: DataFrame, stored: DataFrame, group: str = "memory_type") -> DataFrame:
+    """stored (group, root): (group, n_leaves, n_proven), by a proof of every leaf against the stored root."""
+    held = proofs(ids, group).join(stored.select(group, "root"), group)
+    holds = proof_holds(F.col("block_id"), F.col("leaf_index"), F.col("tree_size"), F.col("audit_path"), F.col("root"))
+    return held.groupBy(group).agg(F.count(F.lit(1)).alias("n_leaves"), F.sum(holds.cast("long")).alias("n_proven"))
+
+
+def require_layout(name: str) -> None:
+    if name not in LAYOUTS:
+        raise LayoutError(f"unknown tree layout {name!r}")
+
+
 def diff(before: DataFrame, after: DataFrame, group: str = "memory_type") -> DataFrame:
     """(group, block_id, change): added, removed or unchanged."""
     b = before.select(group, "block_id").distinct().withColumn("b", F.lit(True))
@@ -132,4 +169,5 @@ def diff(before: DataFrame, after: DataFrame, group: str = "memory_type") -> Dat
     return b.join(a, [group, "block_id"], "full").select(group, "block_id", change.alias("change"))
 
 
-__all__ = ["EMPTY_ROOT", "diff", "leaves", "levels", "proof_holds", "proofs", "roots"]
+LAYOUTS[LAYOUT] = roots
+__all__ = ["EMPTY_ROOT", "LAYOUTS", "diff", "leaves", "levels", "proof_holds", "proofs", "require_layout", "roots", "transfer_size", "verify_leaves"]

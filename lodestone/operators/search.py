@@ -12,12 +12,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.exceptions import QueryError
+from lodestone.exceptions import BlockIntegrityError, QueryError
 from lodestone.functions.identity import DIGEST
 from lodestone.functions.text import content_terms, coverage, score_text
 from lodestone.operators.graph import closure
 
 
+#: Only exact changes a scan; the others are hints to a planner.
+MODES = ("auto", "exact", "lexical", "semantic", "associative")
+
+
 @dataclass(frozen=True)
 class Query:
     text: str = ""
@@ -36,6 +40,8 @@ class Query:
     def __post_init__(self):
         if self.limit < 1 or self.expand_depth < 0:
             raise QueryError("limit must be 1 or more and expand_depth 0 or more")
+        if self.mode not in MODES:
+            raise QueryError(f"unknown mode {self.mode!r}")
         object.__setattr__(self, "terms", content_terms(self.text))
 
     @property
@@ -62,6 +68,13 @@ def passes(query: Query) -> Column:
     return keep
 
 
+def citing(blocks: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Views that cite any of the ids in evidence (block_id): the evidence filter for sets too large for a request."""
+    each = blocks.where("evidence IS NOT NULL").select("block_id", F.explode("evidence").alias("cited")).distinct()
+    hit = each.join(evidence.select(F.col("block_id").alias("cited")).distinct(), "cited", "left_semi").select("block_id").distinct()
+    return blocks.join(hit, "block_id", "left_semi")
+
+
 def searched(blocks: DataFrame, query: Query) -> DataFrame:
     return blocks if query.memory_types is None else blocks.where(F.col("memory_type").isin(*query.memory_types))
 
@@ -107,9 +120,11 @@ def is_truncated(found: DataFrame, query: Query) -> bool:
 
 def matches(found: DataFrame, blocks: DataFrame, query: Query, locators: DataFrame, superseded: DataFrame, unresolvable: DataFrame | None = None) -> DataFrame:
     """(block_id, memory_type, content, score, sources, verified, resolvable, superseded_by), limit rows at most; what
-    was found outside the searched modules takes a slot and is then left out."""
+    was found outside the searched modules takes a slot and is then left out.  verified is the views' own: whether the
+    bytes that were read still hash to the id; views without it were not read from a store."""
     chosen = top(found, query).select("block_id", "score")
-    own = searched(blocks, query).select("block_id", "memory_type", "payload", "evidence")
+    checked = F.col("verified") if "verified" in blocks.columns else F.lit(True)
+    own = searched(blocks, query).select("block_id", "memory_type", "payload", "evidence", checked.alias("verified"))
     joined = F.broadcast(chosen).join(own, "block_id") if query.limit <= 10_000 else chosen.join(own, "block_id")
     if unresolvable is None:
         joined = joined.withColumn("resolvable", F.lit(True))
@@ -124,10 +139,22 @@ def matches(found: DataFrame, blocks: DataFrame, query: Query, locators: DataFra
     return joined.select(
         "block_id", "memory_type", F.when(F.col("resolvable"), F.col("payload")).otherwise("{}").alias("content"),
         score_text(F.col("score")).alias("score"), F.when(F.col("resolvable"), cited).otherwise(none).alias("sources"),
-        F.lit(True).alias("verified"), "resolvable", "superseded_by",
+        "verified", "resolvable", "superseded_by",
     )
 
 
+def all_verified(bundle: DataFrame) -> bool:
+    """No match whose bytes do not hash to its id."""
+    return bundle.where(~F.col("verified")).isEmpty()
+
+
+def require_verified(bundle: DataFrame) -> DataFrame:
+    bad = [r.block_id for r in bundle.where(~F.col("verified")).select("block_id").limit(5).collect()]
+    if bad:
+        raise BlockIntegrityError(f"bytes do not hash to {', '.join(bad)}")
+    return bundle
+
+
 def resolve(blocks: DataFrame, block_id: str, order: tuple[str, ...]) -> DataFrame:
     """The first module, in their order, that holds the id."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("memory_type"))
@@ -135,10 +162,15 @@ def resolve(blocks: DataFrame, block_id: str, order: tuple[str, ...]) -> DataFra
 
 
 def resolvability(names: DataFrame, blobs: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """names (memory_type, digest), blobs (digest), tombstones (digest).  (memory_type, status, n): what a module names,
-    each digest once."""
+    """(memory_type, status, n): what a module names, each digest once; see status_of."""
+    found = status_of(names, blobs, tombstones)
+    return found.groupBy("memory_type", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def status_of(names: DataFrame, blobs: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """names (memory_type, digest), blobs (digest), tombstones (digest).  (memory_type, digest, status)."""
     held = blobs.select("digest", F.lit(1).alias("b")).distinct()
     dead = tombstones.select("digest", F.lit(1).alias("t")).distinct()
     status = F.when(F.col("t").isNotNull(), "tombstoned").when(F.col("b").isNotNull(), "resolvable").otherwise("missing")
     joined = names.select("memory_type", "digest").distinct().join(held, "digest", "left").join(dead, "digest", "left")
-    return joined.groupBy("memory_type", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return joined.select("memory_type", "digest", status.alias("status"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from lodestone.functions.identity import block_id, envelope, oldest_schema, record
+from lodestone.functions.identity import block_id, digest, envelope, jcs, oldest_schema, record
+from lodestone.functions.identity import decode_error as envelope_error
 from lodestone.functions.text import folded
 
 _CONTENT = "struct<blob:string,media_type:string,size:bigint>"
@@ -48,6 +50,45 @@ def decoded(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"p": parsed, "payload": raw})
 
 
+def verified(blocks: DataFrame) -> DataFrame:
+    """blocks with verified: whether their bytes hash to their id."""
+    return blocks.withColumn("verified", digest(F.col("canonical")) == F.col("block_id"))
+
+
+def decode_error(canonical: Column, expected_type: str) -> Column:
+    """Null for the canonical bytes of a block of the type, else what is wrong with them.
+
+    The payload is parsed into typed fields and written anew, so order, spacing, nulls, unknown fields and numbers that
+    have no canonical form all show as a difference.
+    """
+    payload = F.get_json_object(canonical, "$.payload")
+    typed = F.from_json(payload, _canonical_schema(PAYLOAD))
+    return F.coalesce(envelope_error(canonical, expected_type), F.when(~jcs(typed).eqNullSafe(_raw_payload(canonical)), "not-canonical"))
+
+
+def _raw_payload(canonical: Column) -> Column:
+    """The payload's own bytes: what stands between the fixed parts of the envelope."""
+    return F.regexp_extract(canonical, r'(?s)"payload":(.*),"schema_version":\d+,"serialization":"[^"]*"\}$', 1)
+
+
+def _canonical_schema(kind: str) -> StructType:
+    """The fields of every struct in the order of their names."""
+
+    def ordered(x):
+        if isinstance(x, StructType):
+            return StructType([StructField(f.name, ordered(f.dataType)) for f in sorted(x.fields, key=lambda f: f.name)])
+        return ArrayType(ordered(x.elementType)) if isinstance(x, ArrayType) else x
+
+    return ordered(StructType.fromDDL(f"x {kind}")["x"].dataType)
+
+
+def schema_versions(blocks: DataFrame) -> DataFrame:
+    """(memory_type, versions, n_blocks); the versions in order."""
+    return blocks.groupBy("memory_type").agg(
+        F.array_sort(F.collect_set("schema_version")).alias("versions"), F.count(F.lit(1)).alias("n_blocks")
+    )
+
+
 def missing_fields(memory_type: Column, payload: Column) -> Column:
     """The first required field that is absent or empty, or null."""
     out = F.lit(None).cast("string")
@@ -81,6 +122,7 @@ def views(blocks: DataFrame) -> DataFrame:
     return decoded(blocks).select(
         "block_id", "memory_type", p["subject"].alias("subject"), p["tags"].alias("tags"), p["evidence"].alias("evidence"),
         p["occurred_at"].alias("occurred_at"), haystack(p).alias("haystack"), "payload",
+        *(["verified"] if "verified" in blocks.columns else []),
     )
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.identity import MEMORY_TYPES
+from lodestone.functions import identity as ident
+from lodestone.functions.identity import MEMORY_TYPES, record
 from lodestone.functions.text import content_terms, score_text
 from lodestone.operators import composition, graph, ledger, merkle, ranking, reconcile, retention, search, validate
+from lodestone.plans import blocks as bl
 from lodestone.plans.scratch import checkpointed
 from lodestone.queries import fixtures as fx
 from lodestone.queries.fixtures import PRELUDE
@@ -95,9 +97,9 @@ def merkle_root_by_module(spark, sf) -> DataFrame:
     return merkle.roots(_ids(spark, sf))
 
 
-@query(_TREE + " SELECT memory_type, level, pos, hash FROM tree WHERE memory_type <> 'episodic'")
+@query(_TREE + " SELECT memory_type, level, pos, hash FROM tree")
 def merkle_levels(spark, sf) -> DataFrame:
-    return merkle.levels(_ids(spark, sf).where("memory_type <> 'episodic'"))
+    return merkle.levels(_ids(spark, sf))
 
 
 _PROOFS = _TREE + """,
@@ -107,19 +109,16 @@ paths AS (SELECT w.memory_type, w.block_id, w.leaf_index, w.tree_size, string_ag
   FROM want w LEFT JOIN tree t ON t.memory_type = w.memory_type AND t.level = w.level AND t.pos = w.sib GROUP BY ALL)"""
 
 
-@query(_PROOFS + " SELECT memory_type, block_id, leaf_index, tree_size, path FROM paths WHERE memory_type IN ('semantic', 'canonical')")
+@query(_PROOFS + " SELECT memory_type, block_id, leaf_index, tree_size, path FROM paths")
 def inclusion_proof_paths(spark, sf) -> DataFrame:
-    found = merkle.proofs(_ids(spark, sf).where("memory_type IN ('semantic', 'canonical')"))
+    found = merkle.proofs(_ids(spark, sf))
     return found.select("memory_type", "block_id", "leaf_index", "tree_size", F.array_join("audit_path", ",").alias("path"))
 
 
-@query(" SELECT memory_type, count(*) AS n_proofs, count(*) AS n_valid, CAST(0 AS BIGINT) AS n_tampered_valid FROM comp WHERE memory_type IN ('semantic', 'procedural') GROUP BY 1")
+@query(" SELECT memory_type, count(*) AS n_proofs, count(*) AS n_valid, CAST(0 AS BIGINT) AS n_tampered_valid FROM comp GROUP BY 1")
 def proof_verify(spark, sf) -> DataFrame:
     """Every proof holds against the root, and none with a changed leaf index does."""
-    return _verified_proofs(_ids(spark, sf).where("memory_type IN ('semantic', 'procedural')"))
-
-
-def _verified_proofs(ids: DataFrame) -> DataFrame:
+    ids = _ids(spark, sf)
     found = merkle.proofs(ids).join(merkle.roots(ids), "memory_type")
     holds = lambda index: merkle.proof_holds(F.col("block_id"), index, F.col("tree_size"), F.col("audit_path"), F.col("root")).cast("long")
     return found.groupBy("memory_type").agg(
@@ -128,27 +127,31 @@ def _verified_proofs(ids: DataFrame) -> DataFrame:
     )
 
 
-@query(_TREE + " SELECT memory_type, level, pos, hash FROM tree")
-def merkle_levels_every_module(spark, sf) -> DataFrame:
-    return merkle.levels(_ids(spark, sf))
-
-
-@query(_PROOFS + " SELECT memory_type, block_id, leaf_index, tree_size, path FROM paths")
-def inclusion_proof_paths_every_module(spark, sf) -> DataFrame:
-    found = merkle.proofs(_ids(spark, sf))
-    return found.select("memory_type", "block_id", "leaf_index", "tree_size", F.array_join("audit_path", ",").alias("path"))
+@query(" SELECT memory_type, count(*) AS n_leaves, count(*) AS n_proven FROM comp GROUP BY 1")
+def merkle_verify_leaves(spark, sf) -> DataFrame:
+    """Every leaf proves into the root that is recomputed from the module's blocks."""
+    ids = _ids(spark, sf)
+    return merkle.verify_leaves(ids, merkle.roots(ids))
 
 
-@query(" SELECT memory_type, count(*) AS n_proofs, count(*) AS n_valid, CAST(0 AS BIGINT) AS n_tampered_valid FROM comp GROUP BY 1")
-def proof_verify_every_module(spark, sf) -> DataFrame:
-    return _verified_proofs(_ids(spark, sf))
+@query(" SELECT 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855' AS root, sha256('') AS hashed, 0 AS n_roots")
+def merkle_empty_root(spark, sf) -> DataFrame:
+    """A module without blocks has no row of its own; its root is the hash of nothing."""
+    none = fx.composition(spark, sf).where(F.lit(False))
+    n = merkle.roots(none).agg(F.count(F.lit(1)).cast("int").alias("n_roots"))
+    return n.select(F.lit(merkle.EMPTY_ROOT).alias("root"), F.sha2(F.lit(""), 256).alias("hashed"), "n_roots")
 
 
 # --- compositions: the modules before and after the later half of events, parts and documents -------------------------
 
 _HALVES = """,
-old AS (SELECT memory_type, block_id FROM comp WHERE substr(block_id, 8, 1) < 'a'),
-new AS (SELECT memory_type, block_id FROM comp WHERE substr(block_id, 8, 1) >= '4')"""
+whole AS MATERIALIZED (SELECT DISTINCT memory_type, block_id, substr(block_id, 8, 1) AS h FROM comp),
+old AS MATERIALIZED (SELECT memory_type, block_id FROM whole WHERE h < 'a'),
+new AS MATERIALIZED (SELECT memory_type, block_id FROM whole WHERE h >= '4')"""
+_DIFF = _HALVES + """,
+dif AS (SELECT *, 'removed' AS change FROM (SELECT memory_type, block_id FROM old EXCEPT SELECT memory_type, block_id FROM new)
+  UNION ALL SELECT *, 'added' FROM (SELECT memory_type, block_id FROM new EXCEPT SELECT memory_type, block_id FROM old)
+  UNION ALL SELECT *, 'unchanged' FROM (SELECT memory_type, block_id FROM old INTERSECT SELECT memory_type, block_id FROM new))"""
 
 
 def _halves(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -157,11 +160,16 @@ def _halves(spark, sf) -> tuple[DataFrame, DataFrame]:
     return own.where(first < "a"), own.where(first >= "4")
 
 
-@query(_HALVES + " SELECT coalesce(o.memory_type, n.memory_type) AS memory_type, coalesce(o.block_id, n.block_id) AS block_id, CASE WHEN o.block_id IS NULL THEN 'added' WHEN n.block_id IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM old o FULL JOIN new n ON o.block_id = n.block_id AND o.memory_type = n.memory_type")
+@query(_DIFF + " SELECT memory_type, block_id, change FROM dif")
 def composition_diff(spark, sf) -> DataFrame:
     return merkle.diff(*_halves(spark, sf))
 
 
+@query(_DIFF + " SELECT memory_type, CAST(count(*) FILTER (WHERE change = 'added') AS BIGINT) AS transfer_size, count(*) FILTER (WHERE change <> 'unchanged') = 0 AS is_empty FROM dif GROUP BY 1")
+def composition_transfer_size(spark, sf) -> DataFrame:
+    return merkle.transfer_size(merkle.diff(*_halves(spark, sf)))
+
+
 @query(_HALVES + " SELECT memory_type, block_id FROM old UNION SELECT memory_type, block_id FROM new")
 def composition_union(spark, sf) -> DataFrame:
     return composition.add(*_halves(spark, sf))
@@ -233,15 +241,22 @@ def search_tags_all(spark, sf) -> DataFrame:
     return _scores(spark, sf, search.Query("error", tags=("error",)))
 
 
-@query(_search_sql("", "evidence IN (SELECT block_id FROM docs WHERE doc_id < 100)"))
+@query(_search_sql("", "evidence IN (SELECT block_id FROM docs WHERE doc_id % 20 = 0)"))
 def search_evidence_any(spark, sf) -> DataFrame:
-    cited = fx.documents(spark, sf).where("doc_id < 100").select("block_id").distinct()
-    own = fx.views(spark, sf).where("evidence IS NOT NULL").withColumn("e", F.explode("evidence"))
-    own = own.join(F.broadcast(cited.select(F.col("block_id").alias("e"))), "e", "left_semi").drop("e")
+    """The evidence filter with a set of ids that grows with the documents."""
+    cited = fx.documents(spark, sf).where("doc_id % 20 = 0").select("block_id")
+    own = search.citing(fx.views(spark, sf), cited)
     found = search.candidates(own, search.Query(""), hidden=ledger.inaccessible(fx.provenance(spark, sf)))
     return found.select("block_id", score_text(F.col("score")).alias("score"))
 
 
+@query(_search_sql("", "evidence IN (SELECT max(block_id) FROM qf_cited UNION SELECT min(block_id) FROM qf_cited)").replace("hid AS", "qf_cited AS (SELECT cited AS block_id FROM qf),\nhid AS", 1))
+def search_evidence_listed(spark, sf) -> DataFrame:
+    """The evidence filter of a request: any of the ids that it lists."""
+    wanted = fx.quality_facts(spark, sf).agg(F.min("cited").alias("a"), F.max("cited").alias("b")).first()
+    return _scores(spark, sf, search.Query("", evidence=(wanted.a or "", wanted.b or "")))
+
+
 @query(_search_sql("", "occurred_at >= '2024-01-02T00:00:00Z' AND occurred_at <= '2024-01-02T12:00:00Z'"))
 def search_recency(spark, sf) -> DataFrame:
     return _scores(spark, sf, search.Query("", since="2024-01-02T00:00:00Z", until="2024-01-02T12:00:00Z"))
@@ -310,6 +325,156 @@ def resolve_block(spark, sf) -> DataFrame:
     return search.resolve(fx.views(spark, sf), wanted, MEMORY_TYPES).select("memory_type", "block_id")
 
 
+# --- the store's own block codec, over the canonical bytes of all modules ------------------------------------------------
+
+
+def _held_blocks(spark, sf) -> DataFrame:
+    """(memory_type, block_id, schema_version, canonical) of every block."""
+    kinds = (fx.documents, fx.pages, fx.parts, fx.regions, fx.nations, fx.suppliers, fx.quality_facts, fx.events, fx.conversations)
+    rows = [f(spark, sf).select("memory_type", "block_id", "canonical") for f in kinds]
+    rows.append(fx.provenance(spark, sf).select(F.lit("provenance").alias("memory_type"), F.col("entry_id").alias("block_id"), "canonical"))
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("schema_version", F.lit(1)).dropDuplicates(["memory_type", "block_id"])
+
+
+@query(" SELECT block_id, memory_type, haystack, subject FROM views")
+def block_views(spark, sf) -> DataFrame:
+    """Searchable text, decoded from canonical bytes."""
+    held = _held_blocks(spark, sf).where("memory_type <> 'provenance'")
+    return bl.views(held).select("block_id", "memory_type", "haystack", "subject")
+
+
+@query(" SELECT entry_id, record_type, block, cited, supersedes, locator FROM prov")
+def block_records(spark, sf) -> DataFrame:
+    """The ledger's records, decoded from canonical bytes."""
+    found = bl.records(_held_blocks(spark, sf))
+    return found.select("entry_id", "record_type", "block", F.get("derived_from", F.lit(0)).alias("cited"), "supersedes", "locator")
+
+
+@query(" SELECT DISTINCT src, dst FROM rel")
+def block_references(spark, sf) -> DataFrame:
+    return bl.references(_held_blocks(spark, sf))
+
+
+@query(""" SELECT DISTINCT block_id, json_extract_string(payload, '$.blob') AS digest FROM docs UNION
+  SELECT block_id, json_extract_string(payload, '$.blob') FROM pgs UNION SELECT block_id, json_extract_string(payload, '$.normalized_view.blob') FROM pgs""")
+def block_content(spark, sf) -> DataFrame:
+    """The content that blocks name."""
+    found = bl.content_of(_held_blocks(spark, sf))
+    return found.select("block_id", F.explode("content").alias("digest")).distinct()
+
+
+@query(" SELECT p_partkey, block_id, canonical FROM prt")
+def block_build(spark, sf) -> DataFrame:
+    """Blocks built from fields by the store's codec."""
+    df = fx.parts(spark, sf).select("p_partkey", "kind", "label", "statement", "subject")
+    return bl.build(df, "semantic", fx._claim()).select("p_partkey", "block_id", "canonical")
+
+
+_BROKEN = """,
+br AS (SELECT p_partkey, CASE p_partkey % 9
+  WHEN 0 THEN '{"payload":' || payload || ',"lodestone":1,"memory_type":"semantic","schema_version":1,"serialization":"jcs/1"}'
+  WHEN 1 THEN replace(canonical, '"label":', '"label":null,"label":') WHEN 2 THEN replace(canonical, '"kind":"fact"', '"kind":"fact","weight":1.5')
+  WHEN 3 THEN replace(canonical, '"jcs/1"', '"jcs/2"') WHEN 4 THEN replace(canonical, '"semantic"', '"episodic"')
+  WHEN 5 THEN replace(canonical, '"schema_version":1', '"schema_version":9') WHEN 6 THEN replace(canonical, '{"lodestone":1', '{"lodestone":2')
+  WHEN 7 THEN left(canonical, length(canonical) - 1) ELSE canonical END AS bytes,
+  CASE p_partkey % 9 WHEN 0 THEN 'not-canonical' WHEN 1 THEN 'not-canonical' WHEN 2 THEN 'not-canonical' WHEN 3 THEN 'serialization'
+  WHEN 4 THEN 'memory-type' WHEN 5 THEN 'schema-version' WHEN 6 THEN 'protocol-version' WHEN 7 THEN 'not-json' END AS error FROM prt)"""
+
+
+@query(_BROKEN + " SELECT p_partkey, error FROM br")
+def block_decode_errors(spark, sf) -> DataFrame:
+    """Canonical bytes, most of them broken in one of eight ways, and what the decoder says."""
+    c, case = F.col("canonical"), F.col("p_partkey") % 9
+    changed = lambda a, b: F.replace(c, F.lit(a), F.lit(b))
+    reordered = F.concat(F.lit('{"payload":'), F.col("payload"), F.lit(',"lodestone":1,"memory_type":"semantic","schema_version":1,"serialization":"jcs/1"}'))
+    broken = (
+        F.when(case == 0, reordered).when(case == 1, changed('"label":', '"label":null,"label":'))
+        .when(case == 2, changed('"kind":"fact"', '"kind":"fact","weight":1.5')).when(case == 3, changed('"jcs/1"', '"jcs/2"'))
+        .when(case == 4, changed('"semantic"', '"episodic"')).when(case == 5, changed('"schema_version":1', '"schema_version":9'))
+        .when(case == 6, changed('{"lodestone":1', '{"lodestone":2')).when(case == 7, F.expr("left(canonical, length(canonical) - 1)")).otherwise(c)
+    )
+    return fx.parts(spark, sf).select("p_partkey", bl.decode_error(broken, "semantic").alias("error"))
+
+
+@query(""",
+mf AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'kind' WHEN 1 THEN 'label' WHEN 2 THEN 'statement' WHEN 3 THEN 'kind' END AS required FROM qf)
+SELECT doc_id, required FROM mf""")
+def block_missing_fields(spark, sf) -> DataFrame:
+    """The first required field that a payload lacks; a kind outside the list counts as lacking."""
+    case = F.col("doc_id") % 6
+    df = fx.quality_facts(spark, sf).select(
+        "doc_id", F.lit("semantic").alias("memory_type"), record(
+            kind=F.when(case == 0, F.lit(None)).when(case == 3, "rumour").otherwise(F.col("kind")), label=F.when(case != 1, F.col("label")),
+            statement=F.when(case == 2, "").otherwise(F.col("statement")), subject=F.col("subject"),
+        ).alias("own"),
+    )
+    made = bl.build(df, "semantic", F.col("own"))
+    return bl.decoded(made).select("doc_id", bl.missing_fields(F.col("memory_type"), F.col("p")).alias("required"))
+
+
+@query(" SELECT memory_type, '1' AS versions, count(*) AS n_blocks FROM comp GROUP BY 1")
+def block_schema_versions(spark, sf) -> DataFrame:
+    """The schema versions that each module's blocks have, in order."""
+    found = bl.schema_versions(_held_blocks(spark, sf))
+    return found.select("memory_type", F.array_join("versions", ",").alias("versions"), "n_blocks")
+
+
+@query(""" SELECT block_id, substr(block_id, 8) AS hex, substr(block_id, 8, 12) AS short, true AS ok FROM prt
+  UNION ALL SELECT upper(block_id), NULL, NULL, false FROM prt UNION ALL SELECT left(block_id, 70), NULL, NULL, false FROM prt""")
+def digest_parts(spark, sf) -> DataFrame:
+    """Digests and their parts; other spellings are refused."""
+    own = fx.parts(spark, sf).select("block_id")
+    every = own.unionByName(own.select(F.upper("block_id").alias("block_id"))).unionByName(own.select(F.substring("block_id", 1, 70).alias("block_id")))
+    ok, d = ident.is_digest(F.col("block_id")), F.col("block_id")
+    return every.select("block_id", F.when(ok, ident.hex_of(d)).alias("hex"), F.when(ok, ident.short(d)).alias("short"), ok.alias("ok"))
+
+
+@query("PRELUDESELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, epoch(date_trunc('second', ts))::BIGINT AS parsed, CAST(NULL AS BIGINT) AS refused FROM events")
+def timestamps(spark, sf) -> DataFrame:
+    """Timestamps are written in one form, read back from it, and read from no other."""
+    at = ident.utc_timestamp(F.col("ts"))
+    seconds = lambda text: F.unix_seconds(F.to_timestamp(ident.parse_timestamp(text))).cast("long")
+    return fx.read(spark, sf, "events").select("event_id", at.alias("at"), seconds(at).alias("parsed"), seconds(F.replace(at, F.lit("T"), F.lit(" "))).alias("refused"))
+
+
+@query("""PRELUDESELECT event_id, event_id % 3 = 0 AS media_ok, event_id % 2 = 0 AS interval_ok, event_id % 4 = 0 AS append_only, event_id % 4 <> 0 AS droppable,
+  event_id % 4 IN (1, 2) AS derived, event_id % 5 IN (0, 1, 2) AS redaction, event_id % 2 = 0 AS safe FROM events""")
+def type_predicates(spark, sf) -> DataFrame:
+    """The small predicates of identity, each over values that pass and values that do not."""
+    n = F.col("event_id")
+    media = F.when(n % 3 == 0, "text/plain").when(n % 3 == 1, "text plain").otherwise("Text/Plain")
+    ended = F.when(n % 4 == 0, F.lit(None).cast("string")).when(n % 2 == 0, "2024-01-03T00:00:00Z").otherwise("2024-01-01T00:00:00Z")
+    kind = F.when(n % 4 == 0, "episodic").when(n % 4 == 1, "semantic").when(n % 4 == 2, "procedural").otherwise("canonical")
+    mechanism = F.when(n % 5 == 0, "tombstone").when(n % 5 == 1, "crypto_shred").when(n % 5 == 2, "lineage_rewrite").when(n % 5 == 3, "drop").otherwise("prune")
+    whole = F.when(n % 2 == 0, F.lit(2**53 - 1)).otherwise(F.lit(2**53))
+    return fx.read(spark, sf, "events").select(
+        "event_id", ident.is_media_type(media).alias("media_ok"), ident.is_interval(F.lit("2024-01-02T00:00:00Z"), ended).alias("interval_ok"),
+        ident.is_append_only(kind).alias("append_only"), ident.is_droppable(kind).alias("droppable"), ident.is_derived(kind).alias("derived"),
+        ident.is_redaction(mechanism).alias("redaction"), ident.is_safe_integer(whole).alias("safe"),
+    )
+
+
+@query(" SELECT memory_type, block_id, status FROM (SELECT 'semantic' AS memory_type, block_id, CASE WHEN min(doc_id) % 5 <> 1 AND min(doc_id) % 5 <> 0 THEN 'resolvable' WHEN min(doc_id) % 5 = 0 THEN 'tombstoned' ELSE 'missing' END AS status FROM qf GROUP BY block_id)")
+def resolvable_ids(spark, sf) -> DataFrame:
+    """Whether each id of a module still has its bytes."""
+    facts = fx.quality_facts(spark, sf).groupBy("block_id").agg(F.min("doc_id").alias("doc_id")).withColumn("digest", F.col("block_id"))
+    names = facts.select(F.lit("semantic").alias("memory_type"), "digest")
+    found = search.status_of(names, facts.where("doc_id % 5 <> 1").select("digest"), facts.where("doc_id % 5 = 0").select("digest"))
+    return found.withColumnRenamed("digest", "block_id")
+
+
+@query(" SELECT memory_type, count(*) AS n_rows, count(*) FILTER (WHERE NOT tampered) AS n_verified FROM (SELECT memory_type, block_id, block_id IN (SELECT block_id FROM prt WHERE p_partkey % 10 = 3) AS tampered FROM views) GROUP BY 1")
+def verified_reads(spark, sf) -> DataFrame:
+    """Blocks hashed again as they are read; some parts' bytes were changed after they were stored."""
+    changed = fx.parts(spark, sf).where("p_partkey % 10 = 3").select("block_id", F.lit(" ").alias("extra")).distinct()
+    held = _held_blocks(spark, sf).where("memory_type <> 'provenance'").join(changed, "block_id", "left")
+    read = bl.verified(held.withColumn("canonical", F.concat("canonical", F.coalesce("extra", F.lit("")))))
+    return read.groupBy("memory_type").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("verified").alias("n_verified"))
+
+
 # --- indices and fusion -----------------------------------------------------------------------------------------------
 
 _SUFFIX = "CASE " + " ".join(
@@ -442,7 +607,7 @@ def relation_closure(spark, sf) -> DataFrame:
 # --- cascades ---------------------------------------------------------------------------------------------------------
 
 _CASCADE = """,
-ori AS (SELECT block_id FROM ntn WHERE n_nationkey < 5 UNION SELECT block_id FROM docs WHERE doc_id < 50),
+ori AS (SELECT block_id FROM ntn UNION SELECT block_id FROM docs WHERE doc_id % 20 = 0),
 der1 AS (SELECT DISTINCT o.block_id AS origin, p.block AS node FROM ori o JOIN prov p ON p.cited = o.block_id AND p.record_type = 'derivation'),
 seed AS (SELECT block_id AS origin, block_id AS node FROM ori UNION SELECT origin, node FROM der1),
 stru AS (WITH RECURSIVE r(origin, node) AS (SELECT origin, node FROM seed UNION SELECT origin, src FROM r JOIN rel ON dst = node) SELECT * FROM r),
@@ -450,8 +615,8 @@ gone AS (SELECT origin, node, CASE WHEN (origin, node) IN (SELECT origin, node F
 
 
 def _cascade(spark, sf) -> tuple[DataFrame, DataFrame]:
-    origins = fx.nations(spark, sf).where("n_nationkey < 5").select("block_id")
-    origins = origins.union(fx.documents(spark, sf).where("doc_id < 50").select("block_id")).distinct()
+    origins = fx.nations(spark, sf).select("block_id")
+    origins = origins.union(fx.documents(spark, sf).where("doc_id % 20 = 0").select("block_id")).distinct()
     members, records = _ids(spark, sf), checkpointed(fx.provenance(spark, sf))
     return graph.cascade(ledger.citations(records), fx.relations(spark, sf), members, origins), origins
 
@@ -665,11 +830,11 @@ def prune_sweep(spark, sf) -> DataFrame:
 
 
 @query(_NAMED + """,
-tg AS (SELECT DISTINCT block_id FROM pgs WHERE page_id < 40)
+tg AS (SELECT DISTINCT block_id FROM pgs WHERE page_id % 20 = 0)
 SELECT block_id AS digest FROM tg UNION (SELECT digest FROM nm WHERE block_id IN (SELECT block_id FROM tg)
 EXCEPT SELECT digest FROM nm WHERE block_id NOT IN (SELECT block_id FROM tg))""")
 def redact_shared_content(spark, sf) -> DataFrame:
-    target = fx.pages(spark, sf).where("page_id < 40").select("block_id").distinct()
+    target = fx.pages(spark, sf).where("page_id % 20 = 0").select("block_id").distinct()
     return retention.redactable(target, fx.composition(spark, sf), _named(spark, sf))
 
 

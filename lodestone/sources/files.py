@@ -11,9 +11,10 @@ from pyspark.sql import SparkSession
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.root = root.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
+        self._jvm, self._gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._path = lambda name: self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()) if self.root else None
+        self._fs = self._path("").getFileSystem(self._conf) if self.root else None
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
@@ -33,9 +34,14 @@ class Files:
             stream.write(bytearray(data))
         finally:
             stream.close()
-        if self.exists(name):
-            self._fs.delete(self._path(name), False)
-        self._fs.rename(temporary, self._path(name))
+        # renaming with overwrite is one step of the file system, where rename alone refuses to replace
+        overwrite = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = overwrite
+        path = self._path(name)
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri() if path.toUri().getScheme() else self._fs.getUri(), self._conf).rename(
+            self._fs.makeQualified(temporary), self._fs.makeQualified(path), options
+        )
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

@@ -29,7 +29,7 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", ["merkle_levels", "inclusion_proof_paths", "proof_verify"])
 def test_trees_and_proofs_of_every_module(spark, name):
-    found = QUERIES[f"{name}_every_module"](spark, SF).select("memory_type").distinct().collect()
+    found = QUERIES[name](spark, SF).select("memory_type").distinct().collect()
     assert {r.memory_type for r in found} == {r.memory_type for r in QUERIES["merkle_root_by_module"](spark, SF).collect()} and len(found) == 5
 
 
