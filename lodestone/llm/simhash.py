@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_bytes, discard, map_arrow, source, table, text_key
+from lodestone.llm.common import as_bytes, bounded_batches, discard, map_arrow, source, table, text_key
 from lodestone.llm.components import components
 
 SEED = 42
@@ -430,9 +430,66 @@ def similar_groups(docs: DataFrame, sets: DataFrame, shingle: int, similarity: f
     rest = labelled(links)
     mixed_keys = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     rest = table(rest.join(mixed_keys, "key", "left_semi").where("cls <> head"), "near-rest")
-    left, right = rest.select("key", "cls", "n", "root"), rest.select("key", *(F.col(c).alias(c + "1") for c in ("cls", "n", "root")))
-    pairs = left.join(right, "key").where("cls < cls1 and root <> root1").where(close("n", "n1"))
-    return components(links.union(check(ordered(pairs, "cls", "cls1"))), "near-groups")
+    found = pairs_in_buckets(rest, classes, similarity)
+    return components(links.union(check(ordered(found, "a", "b"))), "near-groups")
+
+
+def pairs_in_buckets(rest: DataFrame, classes: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
+    """rest (key, cls, n, root): the pairs (a, b) of one key, of different roots, whose sizes and counts allow that similarity.
+
+    Pairs are compared where a bucket stands and only those that may reach it leave it, so that a bucket of many texts
+    that are alike, but not enough, is no product of rows.  A bucket of more than `bucket` classes is dealt to chunks,
+    and each pair of chunks is a task of its own.
+    """
+    large = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > bucket)
+    large = large.select("key", F.ceil(F.col("size") / bucket).cast("int").alias("chunks"))
+    dealt = rest.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    tasks = F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1),
+        lambda x: F.struct(
+            F.least(x, F.col("chunk")).alias("c1"), F.greatest(x, F.col("chunk")).alias("c2"),
+            F.when(x == F.col("chunk"), 0).when(F.col("chunk") < x, 1).otherwise(2).alias("side"),
+        ),
+    )
+    dealt = dealt.join(classes.select("cls", "counts"), "cls").select("key", "cls", "n", "root", "counts", F.inline(tasks))
+    where = ["key", "c1", "c2"]
+    dealt = dealt.repartition(*where).sortWithinPartitions(*where, "n", "cls").select(
+        F.xxhash64(*where).alias("task"), "side", "cls", "n", "root", "counts"
+    )
+
+    def run(batches):
+        rest_ = None  # the last bucket may go on in the next batch
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest_ is None else pa.concat_tables([rest_, rows])
+            task = rows.column(0).to_numpy()
+            last = int(np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))[-1])
+            rest_ = rows.slice(last)
+            yield from compare(rows.slice(0, last))
+        if rest_ is not None:
+            yield from compare(rest_)
+
+    def compare(rows: pa.Table):
+        if rows.num_rows < 2:
+            return
+        task, side, cls, n, root = (rows.column(k).to_numpy() for k in range(5))
+        n = n.astype(np.int64)
+        counts = np.frombuffer(b"".join(as_bytes(rows.column(5).combine_chunks())), "<u4").reshape(-1, PARTS)
+        i, step = np.arange(len(task) - 1), 1
+        while len(i):
+            i = i[i + step < len(task)]
+            i = i[(task[i] == task[i + step]) & (n[i] >= similarity * n[i + step] - 1e-9)]  # sizes rise, so later ones are no closer
+            at = i[(root[i] != root[i + step]) & (cls[i] != cls[i + step]) & ((side[i] == 0) | (side[i] != side[i + step]))]
+            for part in np.array_split(at, len(at) // 10_000 + 1):
+                both = np.minimum(counts[part], counts[part + step]).sum(1, dtype=np.int64)
+                part = part[both >= similarity * (n[part] + n[part + step] - both) - 1e-9]
+                if len(part):
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[part]), pa.array(cls[part + step])], names=["a", "b"])
+            step += 1
+
+    bounded_batches(rest.sparkSession)
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: float = SIMILARITY, words: int = LONG_WORDS) -> DataFrame:

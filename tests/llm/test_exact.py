@@ -223,10 +223,11 @@ def test_near_copies_leave_one(spark, make_docs, odd_rows):
     assert simhash.keep_one_of_each(make_docs([])).count() == 0
 
 
-@pytest.mark.parametrize("frequent", [0, 200_000])
-def test_near_copies_by_exact_similarity(spark, make_docs, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "bucket"), [(0, 2048), (200_000, 2)])
+def test_near_copies_by_exact_similarity(spark, make_docs, monkeypatch, frequent, bucket):
     """Pairs at 0.80 to 0.85 leave one, pairs at 0.70 to 0.79 leave both; all against brute force."""
     monkeypatch.setattr(simhash, "ORDER_SHINGLES", frequent)
+    monkeypatch.setattr(simhash.pairs_in_buckets, "__defaults__", (bucket,))
     rows, passage = [], " ".join(f"common{i}" for i in range(60))
     for k in range(120):
         words = [f"w{k}x{i}" for i in range(204 + k % 7)]
