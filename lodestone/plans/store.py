@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.exceptions import (
-    DistributionError, DivergenceError, LodestoneError, MembershipError, NoCommonAncestor, ReconciliationHalted, ResolutionRefused, SnapshotError,
+    BlockIntegrityError, DistributionError, DivergenceError, LodestoneError, MembershipError, NoCommonAncestor, ReconciliationHalted, ResolutionRefused, SnapshotError,
 )
 from lodestone.functions.identity import ENVELOPE_KEY, MEMORY_TYPES, VERSION, digest, record
 from lodestone.operators import composition, graph, ledger, merkle
@@ -65,9 +65,13 @@ class KnowledgeStore:
 
     # --- tables -----------------------------------------------------------------------------------------------------
 
+    def _folder(self, name: str) -> str:
+        """The folder that holds a table now; a rewrite makes a new one and then moves the pointer."""
+        return (self.files.read_json("tables.json") or {}).get(name, name)
+
     def _table(self, name: str, schema: str) -> DataFrame:
-        reader = self.spark.read.schema(schema)
-        return reader.parquet(f"{self.path}/{name}") if self.files.exists(name) else self.spark.createDataFrame([], schema)
+        reader, folder = self.spark.read.schema(schema), self._folder(name)
+        return reader.parquet(f"{self.path}/{folder}") if self.files.exists(folder) else self.spark.createDataFrame([], schema)
 
     def blocks_held(self) -> DataFrame:
         return self._table("blocks", "block_id string, schema_version int, canonical string, memory_type string").select(
@@ -86,9 +90,50 @@ class KnowledgeStore:
         named = rows.withColumns({"digest": digest(F.col("bytes")), "size": F.octet_length("bytes").cast("long")})
         held = self._table("blobs", "digest string, bytes binary, size long").select("digest")
         new = named.select("digest", "bytes", "size").dropDuplicates(["digest"]).join(held, "digest", "left_anti")
-        checkpointed(new).write.mode("append").parquet(f"{self.path}/blobs")
+        checkpointed(new).write.mode("append").parquet(f"{self.path}/{self._folder('blobs')}")
         return named
 
+    def get_bytes(self, digests: DataFrame) -> DataFrame:
+        """digests (digest): (digest, bytes) of those that are held; refused if bytes do not hash to their digest."""
+        found = checkpointed(self.blobs().join(digests.select("digest").distinct(), "digest", "left_semi"))
+        bad = [r.digest for r in found.where(digest(F.col("bytes")) != F.col("digest")).select("digest").limit(5).collect()]
+        if bad:
+            raise BlockIntegrityError(f"bytes do not hash to {', '.join(bad)}")
+        return found.select("digest", "bytes")
+
+    def has(self, digests: DataFrame) -> DataFrame:
+        """digests (digest), each once, with held: whether there are bytes or a tombstone."""
+        known = self.iter_digests().unionByName(self.tombstones().select("digest")).distinct().withColumn("held", F.lit(True))
+        return digests.select("digest").distinct().join(known, "digest", "left").select("digest", F.coalesce("held", F.lit(False)).alias("held"))
+
+    def iter_digests(self) -> DataFrame:
+        """Everything that has bytes: blocks and content, without tombstones."""
+        return self.blocks_held().select(F.col("block_id").alias("digest")).unionByName(self.blobs().select("digest")).distinct()
+
+    def tombstone(self, digests: DataFrame, reason: str) -> None:
+        """Destroys bytes and records why: the record first."""
+        gone = checkpointed(digests.select("digest").distinct())
+        gone.select("digest", F.lit(reason).alias("reason")).write.mode("append").parquet(f"{self.path}/{self._folder('tombstones')}")
+        self._rewrite("blocks", self.blocks_held(), "memory_type")
+        self._rewrite("blobs", self.blobs())
+
+    def delete(self, digests: DataFrame) -> None:
+        """Removes bytes and tombstones alike, as if they had never been held."""
+        gone = checkpointed(digests.select("digest").distinct())
+        self._rewrite("blocks", self.blocks_held().join(gone.select(F.col("digest").alias("block_id")), "block_id", "left_anti"), "memory_type")
+        self._rewrite("blobs", self.blobs().join(gone, "digest", "left_anti"))
+        self._rewrite("tombstones", self.tombstones().join(gone, "digest", "left_anti"))
+
+    def get_block(self, memory_type: str, block_id: str) -> DataFrame:
+        """One row with p and payload; refused if it is not a member of the module, not held, or not what its id says."""
+        if self.composition().where((F.col("memory_type") == memory_type) & (F.col("block_id") == block_id)).isEmpty():
+            raise MembershipError(f"{block_id} is not in the module {memory_type}")
+        own = self.blocks_held().where((F.col("memory_type") == memory_type) & (F.col("block_id") == block_id))
+        row = bl.verified(own).select("verified", bl.decode_error(F.col("canonical"), memory_type).alias("error")).first()
+        if row is None or not row.verified or row.error:
+            raise BlockIntegrityError(f"{block_id} is {'not held' if row is None else row.error or 'not what its id says'}")
+        return bl.decoded(own)
+
     def corrupt_blobs(self) -> DataFrame:
         return self.blobs().where(digest(F.col("bytes")) != F.col("digest")).select("digest")
 
@@ -107,8 +152,16 @@ class KnowledgeStore:
             raise SnapshotError(f"snapshot {name} is not held")
         document = self.files.read_json(file)
         document["parents"] = document.get("parents") or ([document["parent"]] if "parent" in document else [])
+        for kind, module in document["modules"].items():
+            merkle.require_layout(module["layout"])
+            module["table"] = self.files.read_json(self._members_file(kind, module["root"]))["table"]
         return document
 
+    @staticmethod
+    def _members_file(kind: str, root: str) -> str:
+        """Names the folder with the ids that a root commits to; the root alone is in the snapshot."""
+        return f"members/{kind}-{root}.json"
+
     @staticmethod
     def snapshot_bytes(modules: dict, created_at: str, parents: list[str], labels: dict | None = None) -> bytes:
         """One parent is a scalar, several are a list, none is absent."""
@@ -120,7 +173,11 @@ class KnowledgeStore:
         return canonical_json(document)
 
     def _advance(self, modules: dict, parents: list[str], labels: dict | None = None) -> str:
-        document = self.snapshot_bytes(modules, self.clock(), parents, labels)
+        for kind, module in modules.items():
+            if not self.files.exists(self._members_file(kind, module["root"])):
+                self.files.write(self._members_file(kind, module["root"]), canonical_json({"table": module["table"]}))
+        named = {kind: {k: v for k, v in module.items() if k != "table"} for kind, module in modules.items()}
+        document = self.snapshot_bytes(named, self.clock(), parents, labels)
         name = "sha256:" + hashlib.sha256(document).hexdigest()
         self.files.write(f"snapshots/{name.removeprefix('sha256:')}.json", document)
         old = self.state() or {"retained": []}
@@ -152,6 +209,23 @@ class KnowledgeStore:
                 todo += self.snapshot(name)["parents"]
         return list(seen)
 
+    def snapshots_between(self, base: str, name: str | None = None) -> list[str]:
+        """The first-parent chain from behind base to name, oldest first."""
+        chain = self.ancestry(name)
+        if base not in chain:
+            raise NoCommonAncestor(f"{base} is not in the first-parent chain")
+        return chain[: chain.index(base)][::-1]
+
+    def without_module(self, memory_type: str) -> str:
+        """The next snapshot, in which the module is not installed."""
+        return self._advance({k: m for k, m in self.snapshot()["modules"].items() if k != memory_type}, [self.state()["snapshot"]])
+
+    def installed(self) -> list[str]:
+        return [k for k in MEMORY_TYPES if k in self.snapshot()["modules"]]
+
+    def block_count(self) -> int:
+        return sum(m["block_count"] for m in self.snapshot()["modules"].values())
+
     def common_ancestor(self, theirs: str) -> str:
         """The first snapshot of theirs, by generations, that our history holds."""
         ours, frontier, seen = set(self.reachable_history()), [theirs], {theirs}
@@ -173,6 +247,14 @@ class KnowledgeStore:
             out = out.unionByName(own.select(F.lit(kind).alias("memory_type"), "block_id"))
         return out
 
+    def composition_at(self, name: str) -> DataFrame:
+        """The composition of a snapshot, after its ids were folded anew to the roots that the snapshot commits to."""
+        wanted = {k: m["root"] for k, m in self.snapshot(name)["modules"].items()}
+        found = {r.memory_type: r.root for r in merkle.roots(self.composition(name)).collect()}
+        if bad := [k for k, root in wanted.items() if found.get(k, merkle.EMPTY_ROOT) != root]:
+            raise SnapshotError(f"the ids of {', '.join(bad)} do not fold to the snapshot's root")
+        return self.composition(name)
+
     def blocks(self, name: str | None = None) -> DataFrame:
         return self.blocks_held().join(self.composition(name), KEY, "left_semi")
 
@@ -185,11 +267,16 @@ class KnowledgeStore:
 
     def search(self, query: retrieval.Query, planner: Callable | None = None) -> DataFrame:
         """planner: (query, views) to candidates (block_id, score), instead of the scan."""
-        records, views = self.records(), bl.views(self.blocks())
+        records, views = self.records(), bl.views(bl.verified(self.blocks()))
         edges = bl.references(self.blocks().where("memory_type = 'semantic'")) if query.expand_depth else None
         found = planner(query, views) if planner else retrieval.candidates(views, query, edges, ledger.inaccessible(records))
         return retrieval.matches(found, views, query, ledger.locators(records), ledger.superseded_by(records))
 
+    def verified_against(self, query: retrieval.Query) -> dict[str, str]:
+        """The root of each module that the query searches: what its matches were read under."""
+        kinds = query.memory_types or MEMORY_TYPES
+        return {k: m["root"] for k, m in self.snapshot()["modules"].items() if k in kinds}
+
     def resolve(self, block_id: str) -> DataFrame:
         return retrieval.resolve(self.blocks(), block_id, MEMORY_TYPES)
 
@@ -225,7 +312,7 @@ class KnowledgeStore:
             raise LodestoneError("a reconciliation is open")
         rows = checkpointed(rows.select("memory_type", "block_id", "schema_version", "canonical").dropDuplicates(KEY))
         held = self._table("blocks", "block_id string, schema_version int, canonical string, memory_type string")
-        rows.join(held, KEY, "left_anti").write.mode("append").partitionBy("memory_type").parquet(f"{self.path}/blocks")
+        rows.join(held, KEY, "left_anti").write.mode("append").partitionBy("memory_type").parquet(f"{self.path}/{self._folder('blocks')}")
         old = self.snapshot()
         ids = exact if exact is not None else composition.add(self.composition(), rows)
         touched = {r[0] for r in rows.select("memory_type").distinct().collect()}
@@ -335,31 +422,33 @@ class KnowledgeStore:
         members = self.composition().where(F.col("memory_type") == memory_type)
         if not origins.join(members, "block_id", "left_anti").isEmpty():
             raise MembershipError(f"not all are in the module {memory_type}")
-        dependents = checkpointed(graph.cascade_of_batch(self.plan_drop(origins), origins))
+        return self._drop(origins.select(F.lit(memory_type).alias("memory_type"), "block_id"), reason, actor)
+
+    def _drop(self, origins: DataFrame, reason: str, actor: dict[str, str]) -> DropResult:
+        """origins (memory_type, block_id) and all that depends on them, in one snapshot; none if the policy asks for a review."""
+        if origins.isEmpty():
+            return DropResult(False, None, 0)
+        own = origins.select("block_id").distinct()
+        dependents = checkpointed(graph.cascade_of_batch(self.plan_drop(own), own))
         n = dependents.count()
         if self.policy.requires_review(n):
             return DropResult(True, None, n)
-        for row in dependents.select("memory_type").distinct().collect():
+        gone = checkpointed(dependents.unionByName(origins.select(*KEY)).distinct())
+        for row in gone.select("memory_type").distinct().collect():
             self.policy.authorize("drop", row[0])
-        gone = dependents.unionByName(origins.select(F.lit(memory_type).alias("memory_type"), "block_id")).distinct()
-        first = origins.agg(F.min("block_id")).first()[0]
+        first = own.agg(F.min("block_id")).first()[0]
+        named = [r[0] for r in origins.select("memory_type").distinct().collect()]
         removal = gone.groupBy(F.col("memory_type").alias("m")).agg(F.array_sort(F.collect_list("block_id")).alias("ids"))  # one record names them
         entries = bl.provenance_record(
             removal, "removal", self.clock(), actor, blocks=F.col("ids"), mechanism=F.lit("drop"), memory_type=F.col("m"), reason=F.lit(reason),
-            cascaded_from=F.when(F.col("m") != memory_type, F.lit(first)),
+            cascaded_from=F.when(~F.col("m").isin(*named), F.lit(first)),
         )
         return DropResult(False, self.write(entries, without=gone), n)
 
-    def drop_by_producer(self, kind: str, producer_id: str, version: str | None, reason: str, actor: dict[str, str] = ACTOR) -> list[DropResult]:
+    def drop_by_producer(self, kind: str, producer_id: str, version: str | None, reason: str, actor: dict[str, str] = ACTOR) -> DropResult:
+        """What a producer made, in all modules, and what depends on it, in one snapshot or none."""
         made = self.composition().join(ledger.made_by(self.records(), kind, producer_id, version), "block_id", "left_semi")
-        made = checkpointed(made)
-        kinds = [r[0] for r in made.select("memory_type").distinct().collect()]
-        out = []
-        for memory_type in [k for k in MEMORY_TYPES if k in kinds]:
-            left = made.where(F.col("memory_type") == memory_type).join(self.composition(), KEY, "left_semi").select("block_id")
-            if not left.isEmpty():
-                out.append(self.drop(left, memory_type, reason, actor))
-        return out
+        return self._drop(checkpointed(made.select(*KEY).distinct()), reason, actor)
 
     def supersede(self, old: str, new: str, actor: dict[str, str] = ACTOR, reason: str | None = None) -> str:
         fields = {"block": F.lit(new), "supersedes": F.lit(old)} | ({"reason": F.lit(reason)} if reason else {})
@@ -394,15 +483,18 @@ class KnowledgeStore:
         self.write(bl.provenance_record(
             one, "removal", self.clock(), actor, blocks=F.col("ids"), mechanism=F.lit("tombstone"), memory_type=F.lit("canonical"), reason=F.lit(reason)
         ))
-        digests.select("digest", F.lit(reason).alias("reason")).write.mode("append").parquet(f"{self.path}/tombstones")
-        self._rewrite("blocks", self.blocks_held(), "memory_type")
-        self._rewrite("blobs", self.blobs())
+        self.tombstone(digests, reason)
         return digests
 
     def _rewrite(self, name: str, rows: DataFrame, partition: str | None = None) -> None:
-        if self.files.exists(name):
-            writer = checkpointed(rows).write.mode("overwrite")
-            (writer.partitionBy(partition) if partition else writer).parquet(f"{self.path}/{name}")
+        """The new rows go to a folder of their own; then the pointer moves, and only then the old folder goes."""
+        old = self._folder(name)
+        if self.files.exists(old):
+            new = f"{name}-{uuid.uuid4().hex}"
+            writer = rows.write
+            (writer.partitionBy(partition) if partition else writer).parquet(f"{self.path}/{new}")
+            self.files.write("tables.json", canonical_json({**(self.files.read_json("tables.json") or {}), name: new}))
+            self.files.delete(old)
 
     # --- distribution -----------------------------------------------------------------------------------------------
 
@@ -452,16 +544,17 @@ class KnowledgeStore:
 
     def fetch(self, other: KnowledgeStore) -> str:
         """Blocks, content and snapshots of another store, without adopting them.  Returns its head."""
-        if other.files.exists("blobs"):
+        if other.files.exists(other._folder("blobs")):
             self.put_bytes(other.blobs().select("bytes"))
         held = self._table("blocks", "block_id string, schema_version int, canonical string, memory_type string")
-        other.blocks_held().join(held, KEY, "left_anti").write.mode("append").partitionBy("memory_type").parquet(f"{self.path}/blocks")
+        other.blocks_held().join(held, KEY, "left_anti").write.mode("append").partitionBy("memory_type").parquet(f"{self.path}/{self._folder('blocks')}")
         for name in other.reachable_history():
             file = f"snapshots/{name.removeprefix('sha256:')}.json"
             if not self.files.exists(file):
-                for module in other.snapshot(name)["modules"].values():
-                    if not self.files.exists(module["table"]):
-                        self.spark.read.parquet(f"{other.path}/{module['table']}").write.parquet(f"{self.path}/{module['table']}")
+                for kind, module in other.snapshot(name)["modules"].items():
+                    if not self.files.exists(self._members_file(kind, module["root"])):
+                        self.spark.read.parquet(f"{other.path}/{module['table']}").write.mode("overwrite").parquet(f"{self.path}/{module['table']}")
+                        self.files.write(self._members_file(kind, module["root"]), canonical_json({"table": module["table"]}))
                 self.files.write(file, other.files.read(file))
         return other.state()["snapshot"]
 
@@ -498,24 +591,104 @@ class KnowledgeStore:
         noop = incoming.isEmpty() and withdrawn.isEmpty()
         return ReconcilePlan(base, merged, withdrawn, verdicts, clean, noop)
 
+    def attribution(self, theirs: str, strategy: str = "merge") -> list[dict]:
+        """For each snapshot of theirs since the common base who is named as its author after adopting it by the strategy.
+
+        A merge keeps every snapshot, a rebase writes each again, a squash has one for all of them.
+        """
+        base = self.common_ancestor(theirs)
+        keeps = {"merge": "kept", "rebase": "rewritten", "squash": "folded"}[strategy]
+        return [{"snapshot": n, "created_at": self.snapshot(n)["created_at"], "fate": keeps} for n in self.snapshots_between(base, theirs)]
+
+    def reconcile_status(self) -> dict | None:
+        """The open reconciliation, or None."""
+        return self.files.read_json("reconcile.json")
+
+    def _open(self) -> dict:
+        state = self.reconcile_status()
+        if state is None:
+            raise LodestoneError("no reconciliation is open")
+        return state
+
+    def reconcile_resolve(self, block_id: str, choice: str) -> dict:
+        """choice: admit, reject, or prefer (admit it, and reject what it contradicts); kept with the open state."""
+        state = self._open()
+        if choice not in ("admit", "reject", "prefer") or block_id not in state["open"]:
+            raise ResolutionRefused(f"{block_id} is not open, or {choice!r} is no resolution")
+        if choice != "reject" and state["open"][block_id] == "rejected":
+            raise ResolutionRefused(f"{block_id} failed the gate and cannot be admitted")
+        state["resolutions"][block_id] = choice
+        self.files.write("reconcile.json", canonical_json(state))
+        return state
+
+    def reconcile_accept_removals(self) -> dict:
+        state = self._open() | {"accept_removals": True}
+        self.files.write("reconcile.json", canonical_json(state))
+        return state
+
+    def reconcile_continue(self) -> str:
+        """Takes the open reconciliation up with what was resolved; halts again while something is open."""
+        state = self._open()
+        if state["ours"] != self.state()["snapshot"]:
+            raise SnapshotError("the head has moved since the reconciliation halted; abort it")
+        return self.reconcile(state["theirs"], state["strategy"], state["resolutions"], state["accept_removals"])
+
+    def reconcile_abort(self) -> None:
+        self._open()
+        self.files.delete("reconcile.json")
+
+    def _contradicted_by(self, ids: list[str]) -> DataFrame:
+        """Our claims with the label, subject and kind of theirs but another statement."""
+        claim = lambda df: bl.decoded(df).select("memory_type", "block_id", *(F.col(f"p.{c}").alias(c) for c in ("label", "subject", "kind", "statement")))
+        theirs = claim(self.blocks_held().join(self._ids(ids), "block_id", "left_semi")).withColumnRenamed("statement", "other")
+        same = theirs.select("label", "subject", "kind", "other")
+        ours = claim(self.blocks().where("memory_type = 'semantic'"))
+        hit = ours.join(same, [ours[c].eqNullSafe(same[c]) for c in ("label", "subject", "kind")])
+        return hit.where("statement <> other").select("memory_type", "block_id").distinct()
+
+    def _replay(self, base: str, theirs: str, final: DataFrame) -> str:
+        """Our snapshots since base, written again one after another on top of theirs; the last has the merged set."""
+        name = theirs
+        chain = self.snapshots_between(base)
+        ours = self.composition_at(base)
+        for k, step in enumerate(chain):
+            now = self.composition(step)
+            exact = final
+            if k < len(chain) - 1:
+                added, gone = now.join(ours, KEY, "left_anti"), ours.join(now, KEY, "left_anti")
+                exact = checkpointed(self.composition(name).unionByName(added).distinct().join(gone, KEY, "left_anti"))
+            name = self.write(self.spark.createDataFrame([], bl.SCHEMA), parents=[name], exact=exact)
+            ours = now
+        return name if chain else self.write(self.spark.createDataFrame([], bl.SCHEMA), parents=[theirs], exact=final)
+
     def reconcile(self, theirs: str, strategy: str = "merge", resolutions: dict[str, str] | None = None, accept_removals: bool = False) -> str:
-        """Adopts theirs into ours: merge has two parents, squash and rebase one, with the same set.
+        """Adopts theirs into ours, with the same set in the end: merge has both as parents, squash one snapshot on ours,
+        rebase our own snapshots again, one by one, on theirs.
 
-        resolutions: block_id to admit or reject, for what is not validated; a rejected verdict cannot be admitted.
-        Halts, writing nothing but the open state, while a question or a removal is open.
+        resolutions: block_id to admit, reject or prefer, for what is not validated; a rejected verdict cannot be
+        admitted; prefer also withdraws what it contradicts.  While a question or a removal is open this halts, and
+        writes nothing but reconcile.json, the state that reconcile_continue takes up.
         """
         resolutions = resolutions or {}
         plan = self.plan_reconcile(theirs)
         open_ = {r.candidate: r.status for r in plan.verdicts.where("status <> 'validated'").collect()}
         for block, choice in resolutions.items():
-            if choice == "admit" and open_.get(block) == "rejected":
+            if choice != "reject" and open_.get(block) == "rejected":
                 raise ResolutionRefused(f"{block} failed the gate and cannot be admitted")
         pending = [b for b in open_ if b not in resolutions]
         if pending or (not accept_removals and not plan.withdrawn.isEmpty()):
+            state = {"theirs": theirs, "ours": self.state()["snapshot"], "strategy": strategy, "open": open_, "resolutions": resolutions}
+            self.files.write("reconcile.json", canonical_json(state | {"accept_removals": accept_removals}))
             raise ReconciliationHalted(f"{len(pending)} blocks are open, {plan.withdrawn.count()} would be withdrawn")
         final = merging.members(plan.merged)
         if refused := [b for b, choice in resolutions.items() if choice == "reject"]:
             final = final.join(self._ids(refused), "block_id", "left_anti").select(*KEY)
+        if preferred := [b for b, choice in resolutions.items() if choice == "prefer"]:
+            final = final.join(self._contradicted_by(preferred), KEY, "left_anti")
+        final = checkpointed(final.select(*KEY))
         ours = self.state()["snapshot"]
-        parents = [ours, theirs] if strategy == "merge" else [theirs] if strategy == "rebase" else [ours]
-        return self.write(self.spark.createDataFrame([], bl.SCHEMA), parents=parents, exact=final)
+        if self.files.exists("reconcile.json"):
+            self.files.delete("reconcile.json")
+        if strategy == "rebase":
+            return self._replay(plan.base, theirs, final)
+        return self.write(self.spark.createDataFrame([], bl.SCHEMA), parents=[ours, theirs] if strategy == "merge" else [ours], exact=final)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.exceptions import (
-    AppendOnlyViolation, DistributionError, MembershipError, NoCommonAncestor, ReconciliationHalted, ResolutionRefused, RetentionPolicyError,
+    AppendOnlyViolation, BlockIntegrityError, DistributionError, LodestoneError, MembershipError, NoCommonAncestor, ReconciliationHalted, ResolutionRefused, RetentionPolicyError,
 )
 from lodestone.functions.identity import record
 from lodestone.operators import reconcile
@@ -109,7 +109,8 @@ def test_drop_cascades(spark, store):
     result = store.drop(store._ids([one]), "canonical", "wrong")
     assert result.n_dependents == 1 and canonical_ids(store) == [two]
     assert [r.p.statement for r in bl.decoded(store.blocks()).where("memory_type = 'semantic'").collect()] == ["from two"]
-    assert len(store.drop_by_producer("model", "m", "2", "bad model")) == 1
+    dropped = store.drop_by_producer("model", "m", "2", "bad model")
+    assert dropped.snapshot and not dropped.review_required
     assert store.composition().where("memory_type = 'semantic'").count() == 0
     assert store.root_of("semantic") == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     assert store.prune().count() == 0  # older snapshots still name them
@@ -193,7 +194,16 @@ def test_reconcile_halts_on_contradictions_and_removals(spark, diverged):
     with pytest.raises(ReconciliationHalted):
         store.reconcile(theirs)
     (block,) = [r.candidate for r in store.plan_reconcile(theirs).verdicts.where("status = 'contradicted'").collect()]
+    assert store.reconcile_status()["open"] == {block: "contradicted"}
+    with pytest.raises(LodestoneError):
+        store.demote([a])  # a reconciliation is open
+    with pytest.raises(ResolutionRefused):
+        store.reconcile_resolve("sha256:" + "0" * 64, "admit")
+    with pytest.raises(ReconciliationHalted):
+        store.reconcile_continue()
+    store.reconcile_abort()
     store.reconcile(theirs, "squash", {block: "reject"})
+    assert store.reconcile_status() is None
     assert store.composition().where("memory_type = 'semantic'").count() == 1
     fork.drop(fork._ids([a]), "canonical", "wrong")
     theirs = store.fetch(fork)
@@ -203,6 +213,82 @@ def test_reconcile_halts_on_contradictions_and_removals(spark, diverged):
     assert store.composition().where("memory_type IN ('canonical', 'semantic')").count() == 0
 
 
+def test_prefer_and_rebase(spark, diverged):
+    store, fork, a = diverged
+    fork.commit(facts(fork, [a], ("ours", "another statement")), MODEL)
+    theirs = store.fetch(fork)
+    ours = store.state()["snapshot"]
+    with pytest.raises(ReconciliationHalted):
+        store.reconcile(theirs, "rebase")
+    (block,) = store.reconcile_status()["open"]
+    store.reconcile_resolve(block, "prefer")
+    assert [x["fate"] for x in store.attribution(theirs, "rebase")] == ["rewritten"]
+    name = store.reconcile_continue()
+    assert ids(store.composition().where("memory_type = 'semantic'")) == [block]
+    assert store.ancestry(name)[1] == theirs and ours not in store.ancestry(name)
+    assert all(r.root_holds for r in store.verify().collect())
+
+
+def test_reads_are_checked(spark, store, tmp_path):
+    store.register(sources(spark, "one", "two"))
+    (a, b) = canonical_ids(store)
+    digests = spark.createDataFrame([tuple(r) for r in store.blobs().select("digest").collect()], "digest string")
+    assert store.get_bytes(digests).count() == 2 and store.get_block("canonical", a).count() == 1
+    with pytest.raises(MembershipError):
+        store.get_block("semantic", a)
+    found = store.search(Query("plain"))
+    from lodestone.operators import search
+
+    assert found.count() == 2 and search.all_verified(found) and search.require_verified(found) is found
+    assert store.verified_against(Query("x", memory_types=("canonical",))) == {"canonical": store.root_of("canonical")}
+    one = digests.limit(1)
+    bad = store.blobs().withColumn("bytes", F.encode(F.lit("changed"), "utf-8"))
+    store._rewrite("blobs", bad)
+    with pytest.raises(BlockIntegrityError):
+        store.get_bytes(digests)
+    store.delete(one)
+    assert store.blobs().count() == 1 and store.has(digests).where("held").count() == 1
+    assert store.composition_at(store.state()["snapshot"]).count() == 4
+    assert store.without_module("provenance") and store.installed() == ["canonical"] and store.block_count() == 2
+
+
+def test_snapshots_have_no_folder_names(spark, tmp_path):
+    names = []
+    for k in range(2):
+        own = KnowledgeStore(spark, f"file://{tmp_path}/same{k}", clock())
+        names.append(own.register(sources(spark, "same")))
+    assert names[0] == names[1]
+
+
+def test_indices_and_tasks(spark, store, tmp_path):
+    from dataclasses import replace
+
+    from lodestone.plans import indices, tasks
+
+    store.register(sources(spark, "text"))
+    (a,) = canonical_ids(store)
+    store.commit(facts(store, [a], ("fourier", "sums of waves"), ("laplace", "decays")), MODEL)
+    best = indices.search(store, indices.INVERTED, "waves", 5).collect()
+    assert len(best) == 1 and best[0].score > 0 and indices.search(store, indices.HASHED, "waves", 5).count() >= 1
+    before = store.files.names("indices")
+    indices.search(store, indices.INVERTED, "decays", 5)
+    assert store.files.names("indices") == before  # read, not built again
+    indices.dump(store, indices.INVERTED, f"file://{tmp_path}/index")
+    rows, manifest = indices.load(spark, indices.INVERTED, f"file://{tmp_path}/index")
+    assert rows.count() > 0 and manifest["roots"]["semantic"] == store.root_of("semantic")
+    with pytest.raises(indices.IndexMismatch):
+        indices.load(spark, replace(indices.INVERTED, model_tag="other"), f"file://{tmp_path}/index")
+    assert indices.content_of(store).count() == 1
+    found, more = indices.widened(lambda n: indices.search(store, indices.INVERTED, "waves decays", n), store.composition(), 1)
+    assert found.count() == 1 and more
+    task = tasks.define(store, (a,), ("semantic",), "find facts")
+    assert task.task_id == tasks.define(store, (a,), ("semantic",), "find facts").task_id and tasks.sources_of(store, task).count() == 1
+    with pytest.raises(ValueError):
+        tasks.define(store, (a,), ("canonical",), "no")
+    fact = ids(store.composition().where("memory_type = 'semantic'"))[0]
+    assert tasks.define_rederivation(store, fact, "again").sources == (a,)
+
+
 def test_unrelated_histories_have_no_ancestor(spark, store, tmp_path):
     store.register(sources(spark, "a"))
     other = KnowledgeStore(spark, f"file://{tmp_path}/unrelated", clock())
