@@ -46,7 +46,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: A fitted model and fingerprints by XXH64 have no SQL; tests hold the stages against brute force.
+#: A fitted model and fingerprints by XXH64 have no SQL.  Tests hold line dedup, near dedup and decontamination against brute
+#: force, packing against its own rules and toxicity against held-out labels; the pipeline as a whole by columns and counts.
 ORACLE_SQL = None
 
 
