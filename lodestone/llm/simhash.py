@@ -1,8 +1,8 @@
 """SimHash near-dedup (operator 6), with pivot distance tables.
 
 Fingerprints.  Words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, shingles of k words with repeats,
-space-joined; a bit is set if it is in over half of the shingles' hashes.  64 bits: XXH64 with seed 42.  Longer ones:
-further 64-bit words by mixing that hash with the word's number.
+space-joined; a bit is set if it is in over half of the shingles' hashes.  64 bits: XXH64 with seed 42.  Longer ones,
+of the pipeline, start from a hash by words (see shingle_set): further 64-bit words by mixing it with their number.
 
 Links.  Two fingerprints link at `radius` differing bits or fewer.  Equal fingerprints are one class, so copies never
 meet.  Between classes:
@@ -72,6 +72,22 @@ def shingle_hashes(raw: bytes | None, shingle: int) -> np.ndarray:
     return np.fromiter((hash_of(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
 
 
+def shingle_set(raw: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the different shingles.  A shingle's hash is a polynomial in the XXH64 of its words, mixed, so
+    that each word is hashed once and not with every shingle that holds it; it starts from the number of words, which
+    tells a text of fewer words from a shingle."""
+    words = (raw or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(len(words), shingle)
+    n = len(words) - size + 1
+    found = np.full(n, size, np.uint64)
+    for k in range(size):
+        found = found * _MIX[0] + own[k : k + n]  # modulo 2^64
+    return np.unique(mixed(found))
+
+
 def fingerprint(raw: bytes | None, shingle: int, words: int = 1, distinct: bool = False) -> bytes:
     """`words` 64-bit words, little-endian; distinct: each different shingle counts once."""
     hashes = shingle_hashes(raw, shingle)
@@ -302,7 +318,7 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(of)) == 0).select("text")
 
     def step(batch: pa.RecordBatch) -> list:
-        return [np.concatenate([np.unique(shingle_hashes(raw, shingle)) for raw in as_bytes(batch.column(0))]).view(np.int64)]
+        return [np.concatenate([shingle_set(raw, shingle) for raw in as_bytes(batch.column(0))]).view(np.int64)]
 
     counts = map_arrow(sample, step, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = counts.orderBy(F.desc("n"), "key").limit(ORDER_SHINGLES).toArrow()
@@ -319,7 +335,7 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float, words: int) -
         keys, often = frequent.value
         out: list[list] = [[], [], [], [], []]
         for raw in as_bytes(batch.column(3)):
-            own = np.unique(shingle_hashes(raw, shingle))
+            own = shingle_set(raw, shingle)
             rank = np.zeros(len(own), np.int64)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
@@ -367,7 +383,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
     texts = docs.select("text", "__t1", "__t2").join(need, ["__t1", "__t2"]).groupBy("cls").agg(F.first("text").alias("text"))
 
     def sets(batch: pa.RecordBatch) -> list:
-        return [batch.column(0), [np.unique(shingle_hashes(raw, shingle)).tobytes() for raw in as_bytes(batch.column(1))]]
+        return [batch.column(0), [shingle_set(raw, shingle).tobytes() for raw in as_bytes(batch.column(1))]]
 
     def check(batch: pa.RecordBatch) -> list | None:
         keep = []
