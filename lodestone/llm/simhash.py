@@ -450,13 +450,23 @@ def similar_groups(docs: DataFrame, sets: DataFrame, shingle: int, similarity: f
     return components(links.union(check(ordered(found, "a", "b"))), "near-groups")
 
 
+#: Of each class, so many of its smallest keys go with its rows.
+FIRST_KEYS = 8
+
+
 def pairs_in_buckets(rest: DataFrame, classes: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
     """rest (key, cls, n, root): the pairs (a, b) of one key, of different roots, whose sizes and counts allow that similarity.
 
     Pairs are compared where a bucket stands and only those that may reach it leave it, so that a bucket of many texts
     that are alike, but not enough, is no product of rows.  A bucket of more than `bucket` classes is dealt to chunks,
-    and each pair of chunks is a task of its own.
+    and each pair of chunks is a task of its own.  A pair that meets in many buckets leaves the first: it is passed
+    over where both classes have a smaller key among their FIRST_KEYS, as they meet there.  Their smallest common key is
+    never passed over; a pair whose smallest one is not among these may leave several buckets.
     """
+    last = F.lit(2**63 - 1)  # smaller than no key
+    firsts = rest.groupBy("cls").agg(F.array_sort(F.collect_list("key")).alias("keys")).select(
+        "cls", F.slice(F.concat(F.slice("keys", 1, FIRST_KEYS), F.array_repeat(last, FIRST_KEYS)), 1, FIRST_KEYS).alias("firsts")
+    )
     large = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > bucket)
     large = large.select("key", F.ceil(F.col("size") / bucket).cast("int").alias("chunks"))
     dealt = rest.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -468,10 +478,11 @@ def pairs_in_buckets(rest: DataFrame, classes: DataFrame, similarity: float, buc
             F.when(x == F.col("chunk"), 0).when(F.col("chunk") < x, 1).otherwise(2).alias("side"),
         ),
     )
-    dealt = dealt.join(classes.select("cls", "counts"), "cls").select("key", "cls", "n", "root", "counts", F.inline(tasks))
+    dealt = dealt.join(firsts, "cls").join(classes.select("cls", "counts"), "cls")
+    dealt = dealt.select("key", "cls", "n", "root", "counts", "firsts", F.inline(tasks))
     where = ["key", "c1", "c2"]
     dealt = dealt.repartition(*where).sortWithinPartitions(*where, "n", "cls").select(
-        F.xxhash64(*where).alias("task"), "side", "cls", "n", "root", "counts"
+        F.xxhash64(*where).alias("task"), "side", "cls", "n", "root", "counts", "key", "firsts"
     )
 
     def run(batches):
@@ -492,12 +503,17 @@ def pairs_in_buckets(rest: DataFrame, classes: DataFrame, similarity: float, buc
         task, side, cls, n, root = (rows.column(k).to_numpy() for k in range(5))
         n = n.astype(np.int64)
         counts = np.frombuffer(b"".join(as_bytes(rows.column(5).combine_chunks())), "<u4").reshape(-1, PARTS)
+        key = rows.column(6).to_numpy()
+        firsts = rows.column(7).combine_chunks().flatten().to_numpy().reshape(-1, FIRST_KEYS)
         i, step = np.arange(len(task) - 1), 1
         while len(i):
             i = i[i + step < len(task)]
             i = i[(task[i] == task[i + step]) & (n[i] >= similarity * n[i + step] - 1e-9)]  # sizes rise, so later ones are no closer
             at = i[(root[i] != root[i + step]) & (cls[i] != cls[i + step]) & ((side[i] == 0) | (side[i] != side[i + step]))]
             for part in np.array_split(at, len(at) // 10_000 + 1):
+                own = firsts[part][:, :, None]
+                met = ((own == firsts[part + step][:, None, :]) & (own < key[part, None, None])).any((1, 2))
+                part = part[~met]
                 both = np.minimum(counts[part], counts[part + step]).sum(1, dtype=np.int64)
                 part = part[both >= similarity * (n[part] + n[part + step] - both) - 1e-9]
                 if len(part):
