@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,11 @@ def word_places(word: bytes) -> list[int]:
     bare = word.strip(_PUNCTUATION)
     if not bare:
         return []
-    h, text = xxhash.xxh64_intdigest, bare.decode()
-    return [h(bare) % PLACES, *(h(text[:k].encode(), k) % PLACES for k in PREFIXES if len(text) >= k)]
+    return [xxhash.xxh64_intdigest(bare) % PLACES, *prefix_places(bare.decode())]
+
+
+def prefix_places(text: str) -> list[int]:
+    return [xxhash.xxh64_intdigest(text[:k].encode(), k) % PLACES for k in PREFIXES if len(text) >= k]
 
 
 class _Places(dict):
@@ -177,26 +181,45 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS)
     return fit(rows, grades, max(GRADES, int(grades.max(initial=0)) + 1)) if graded else fit_toxic(rows, grades)
 
 
+class _Prefixes(dict):
+    """Of the first characters of a word, as many as the longest prefix has, the weighted places of its prefixes."""
+
+    def __init__(self, places: set[int]):
+        super().__init__()
+        self.places = places
+
+    def __missing__(self, start: bytes) -> tuple:
+        if len(self) > _CACHE:
+            self.clear()
+        self[start] = found = tuple(p for p in prefix_places(start.decode()) if p in self.places)
+        return found
+
+
 class _Weights(dict):
+    """Of a word, its weighted places.  Few words have any, and many share a start, so a new word costs one hash mostly."""
+
     def __init__(self, weights: dict[int, float]):
         super().__init__()
-        self.weights = weights
         self.places = {p % PLACES for p in weights}
+        self.prefixes = _Prefixes(self.places)
 
     def __missing__(self, word: bytes) -> tuple:
         if len(self) > _CACHE:
             self.clear()
-        self[word] = found = tuple(p for p in word_places(word) if p in self.places)
+        bare, found = word.strip(_PUNCTUATION), ()
+        if bare:
+            found = self.prefixes[bare[: PREFIXES[-1]] if bare.isascii() else bare.decode()[: PREFIXES[-1]].encode()]
+            if (own := xxhash.xxh64_intdigest(bare) % PLACES) in self.places:
+                found = (own, *found)
+        self[word] = found
         return found
 
 
 def scores(raws: list[bytes | None], model: Ordinal, cache: _Weights) -> np.ndarray:
     out = []
     for raw in raws:
-        words, counts = (raw or b"").lower().split(), Counter()
-        for found in map(cache.__getitem__, words):
-            if found:
-                counts.update(found)
+        words = (raw or b"").lower().split()
+        counts = Counter(chain.from_iterable(filter(None, map(cache.__getitem__, words))))
         out.append(score(valued(counts, len(words)), model))
     return np.array(out, float)
 

@@ -159,6 +159,15 @@ def test_gradient_of_the_fit():
     assert losses[0] > losses[1] > losses[2]
 
 
+def test_weighted_places_of_a_word_are_all_its_places():
+    words = ["", "!!", "ab", "abc", "abcd,", "(abcd-ef)", "abcd-", "a--bcd", "été", "étéx-é", "a中中-中x", "\x00x", "abcdefgh" * 50]
+    raw = [w.encode() for w in words]
+    every = toxicity._Weights({p: 1.0 for w in raw for p in toxicity.word_places(w)})
+    assert [list(every[w]) for w in raw] == [toxicity.word_places(w) for w in raw]
+    none = toxicity._Weights({})
+    assert not any(none[w] for w in raw)
+
+
 def test_toxicity_on_odd_rows(spark, make_docs, odd_rows):
     labels = spark.createDataFrame([(None, 1, 1), (1, None, 1), (2, 1, None), (4, 1, 0)], "doc_id long, quality int, toxic int")
     docs = make_docs(odd_rows)
