@@ -5,7 +5,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import merkle
+from lodestone.operators import composition, merkle
+from lodestone.queries import QUERIES
 
 
 def ids_of(spark, n, group="episodic"):
@@ -43,3 +44,26 @@ def test_proofs_are_not_moved_to_be_verified(spark, monkeypatch):
 def test_ids_that_are_no_digests_are_refused(spark):
     with pytest.raises(Exception, match="not a digest"):
         merkle.packed(ids_of(spark, 3).union(spark.createDataFrame([("episodic", "sha256:XY")], "a string, b string")))
+
+
+def test_document_digests_equal_those_of_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BLOCK", 2)
+    ids = ids_of(spark, 23).union(ids_of(spark, 1, "semantic")).union(ids_of(spark, 4, "canonical")).union(ids_of(spark, 2))
+    whole = composition.document(ids, 'a"ü/1').select("memory_type", F.sha2("document", 256).alias("document_sha256"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # modules begin inside batches and span them
+    try:
+        found = composition.document_digests(ids, 'a"ü/1').collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 3 and set(map(tuple, found)) == set(map(tuple, whole.collect()))
+    assert composition.document_digests(ids.where("false"), "x").count() == 0
+
+
+def test_no_row_holds_a_module(spark):
+    assert "collect_list" not in plan(QUERIES["composition_document"](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize(("name", "moves"), [("inclusion_proof_paths", 0), ("merkle_verify_leaves", 1)])
+def test_paths_of_queries_are_not_moved(spark, name, moves):
+    over = above_explode(QUERIES[name](spark, "/root/testdata/sf0.001"))  # verification moves its sums of each module once
+    assert over.count("Exchange") == moves and "Join" not in over
